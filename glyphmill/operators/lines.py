@@ -27,7 +27,9 @@ def strict_line_table(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id
     """Cleaned lines with their score and noise flag, one row per source line."""
     flagged = docs.select(*keys, R.is_memo_text(F.col(text_col)).alias("memo"), F.col(text_col).alias("_text"))
     rows = flagged.select(*keys, "memo", F.posexplode(P.squeezed_lines_of(F.col("_text"))).alias("line_no", "line"))
-    rows = rows.withColumn("clean", R.clean_strict_line(F.col("line"), F.col("memo")))
+    memo_steps = [lambda c, f=f: F.when(F.col("memo"), f(c)).otherwise(c) for f in P.STRICT_MEMO_STEPS]
+    rows = P.stage(rows.withColumn("clean", R.open_strict_line(F.col("line"))), "clean",
+                   *memo_steps, R.scrub_garbled, *memo_steps, P.squeeze)
     stats = R.line_stats(F.col("clean"))
     names = list(stats)
     for n in names:

@@ -77,7 +77,8 @@ def ingest_engine_json(df: DataFrame, payload: str = "payload", keys=("doc_id",)
     old_rec = F.transform("_old", lambda x: F.from_json(F.element_at(x, 2), "array<string>"))
     texts = F.coalesce(first("rec_texts", "texts"), F.transform(old_rec, lambda r: F.element_at(r, 1)))
     scores = F.coalesce(first("rec_scores", "scores"), F.transform(old_rec, lambda r: F.element_at(r, 2).cast("double")))
-    boxes = F.coalesce(first("rec_polys", "dt_polys", "boxes"), F.transform("_old", lambda x: F.from_json(F.element_at(x, 1), POINTS)))
+    boxes = F.coalesce(first("rec_polys", "dt_polys", "boxes"), F.transform("_old", lambda x: F.from_json(F.element_at(x, 1), POINTS)),
+                       F.array().cast(f"array<{POINTS}>"))
     df = df.select(
         *keys, F.coalesce("_p.page_number", F.lit(1)).alias("page_no"), fold_language(F.col("_p.lang")).alias("language"),
         F.posexplode(F.arrays_zip(texts.alias("text"), scores.alias("score"), boxes.alias("box"))).alias("pos", "line"),
