@@ -48,22 +48,24 @@ def strict_noise_filter(docs: DataFrame, text_col: str = "raw_text", keys=("doc_
     """
     keys = list(keys)
     rows = strict_line_table(docs, text_col, keys)
-    good = rows.where(~F.col("noise"))
     key = F.lower(P.compact(F.col("clean")))
-    kept = good.groupBy(*keys, key.alias("_k")).agg(F.min(F.struct("line_no", "clean", "score")).alias("r"))
-    kept = kept.select(*keys, F.inline(F.array("r")))
+    # Filters sit above the aggregates: pushed below, they would repeat the scoring.
+    entry = F.struct("line_no", "clean", "score")
+    kept = rows.groupBy(*keys, key.alias("_k")).agg(F.min(F.when(~F.col("noise"), entry)).alias("r")).where(F.col("r").isNotNull())
+    kept = kept.select(*keys, F.col("r.line_no").alias("line_no"), F.col("r.clean").alias("clean"), F.col("r.score").alias("score"))
     has_good = rows.groupBy(*keys).agg(F.max((~F.col("noise")).cast("int")).alias("any_good"))
     lost = has_good.where(F.col("any_good") == 0).select(*keys)
-    spare = rows.where(F.col("clean") != "").join(lost, keys, "left_semi")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "line_no"))
-    best = spare.withColumn("_rn", rank).where(F.col("_rn") <= fallback).select(*keys, "line_no", "clean", "score")
+    spare = rows.select(*keys, "line_no", "clean", "score").join(lost, keys, "left_semi")
+    best = spare.withColumn("_rn", rank).where((F.col("_rn") <= fallback) & (F.col("clean") != "")).drop("_rn")
     return kept.unionByName(best)
 
 
 def strict_removed(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id",)) -> DataFrame:
     """Removed or changed lines per document, distinct, with counts."""
-    rows = strict_line_table(docs, text_col, keys).where(F.col("noise") | F.col("changed"))
-    return rows.groupBy(*keys, "line").agg(F.count("*").alias("times"), F.max("noise").alias("noise"))
+    rows = strict_line_table(docs, text_col, keys)
+    gone = F.col("noise") | F.col("changed")
+    return rows.groupBy(*keys, "line").agg(F.sum(gone.cast("int")).alias("times"), F.max("noise").alias("noise")).where(F.col("times") > 0)
 
 
 def pre_header_lines(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id",)) -> DataFrame:

@@ -86,8 +86,9 @@ def review_queue(conflicts: DataFrame, issues: DataFrame, n: int = 40, keys=("do
     """Open conflicts (first ``n`` per document) and must-check items, distinct."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))
-    open_ = conflicts.where(F.col("conflict") & ~F.col("resolved")).withColumn("_rn", rank).where(F.col("_rn") <= n)
+    is_open = F.col("conflict") & ~F.col("resolved")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(is_open, 0).otherwise(1), "line_no"))
+    open_ = conflicts.withColumn("_rn", rank).where((F.col("_rn") <= n) & is_open)
     open_ = open_.select(*keys, F.lit("conflict").alias("kind"), F.col("selected").alias("item"), F.array_join("candidates", " | ").alias("reason"))
     return open_.unionByName(issues.select(*keys, "kind", "item", "reason")).distinct()
 

@@ -81,9 +81,8 @@ def consensus(candidates: DataFrame, keys=("doc_id",), level: str = "safe", full
     keys = list(keys)
     aligned = V.align_candidates(candidates, keys=keys)
     decided = V.majority_line(aligned, full_score=full_score)
-    lines = decided.where(F.col("decision") != "").select(*keys, "line_no", "decision")
     rows = decided.groupBy(*keys).agg(F.avg("confidence").alias("row_confidence"))
-    text = ordered_text(lines, keys, "line_no", "decision", "base_text")
+    text = ordered_text(decided, keys, "line_no", "decision", "base_text", skip_blank=True)
     issues = V.issue_counts(aligned, candidates, keys)
     df = issues.join(rows, keys, "left").join(text, keys, "left").fillna({"base_text": "", "row_confidence": 0.0})
     df = clean_text(df, "base_text", level)
