@@ -45,9 +45,11 @@ SPACING_CHECKS = [
 
 def spell_findings(c: Column, per_check: int = 8) -> Column:
     """ARRAY<STRUCT<kind, found, suggest>>: the first ``per_check`` hits of a check, distinct."""
+    def tagged(found, kind, suggest):
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("found"), F.lit(suggest).alias("suggest")))
+
     def hits(kind, checks):
-        return [F.transform(F.array_distinct(F.slice(P.find_all(c, p, f), 1, per_check)), lambda m, k=kind, s=s: F.struct(
-            F.lit(k).alias("kind"), m.alias("found"), F.lit(s).alias("suggest"))) for p, s, f in checks]
+        return [tagged(F.array_distinct(F.slice(P.find_all(c, p, f), 1, per_check)), kind, s) for p, s, f in checks]
 
     return F.array_distinct(F.concat(*hits("suspicious", WRONG_CHECKS), *hits("spacing", SPACING_CHECKS)))
 

@@ -12,6 +12,7 @@ from ..operators import fields as FD, lines as L, matching as M, pages as PG, re
 from ..sources import exports as X, fixtures as S, tables as T
 from ..streaming.streams import stream_quality as quality_windows
 from . import jobs as G
+from .catalog_text import run_pattern
 from .registry import bare, every, get, hit, line_rows, lines, lit, num, query, rep, squeeze, tally, trim, with_, words
 
 D = S.documents
@@ -128,7 +129,7 @@ def route_preset(spark, d):
     return both.select("doc_id", r.alias("r")).select("doc_id", "r.engine", "r.preset", "r.reason")
 
 
-@query("budget_year_check", with_("budget") + "select doc_id, abs((2560 + doc_id % 10) - cast(right(raw_text, 4) as int)) > 2 and cast(right(raw_text, 4) as int) is not null as warning from budget")
+@query("budget_year_check", with_("budget") + "select doc_id, (2560 + doc_id % 10) - cast(right(raw_text, 4) as int) > 2 as warning from budget")
 def budget_year_check(spark, d):
     """The latest year of these memos is the document year or the budget year itself."""
     return S.rendered(spark, d, "budget").select("doc_id", K.budget_year_warning(F.col("raw_text")).alias("warning"))
@@ -186,9 +187,9 @@ def invoice_fields(spark, d):
     return r.select("doc_id", "i.invoice_no", "i.tax_id", "total")
 
 
-@query("ticket_fields", """select event_id as doc_id, 'INC-' || cast(event_id as varchar) as ticket_no, 'core-' || cast(user_id % 5 as varchar) as system, 'link down on Gi0/' || cast(event_id % 24 as varchar) as issue,
+@query("ticket_fields", with_("tickets") + """select event_id as doc_id, 'INC-' || cast(event_id as varchar) as ticket_no, 'core-' || cast(user_id % 5 as varchar) as system, 'link down on Gi0/' || cast(event_id % 24 as varchar) as issue,
     '10.' || cast(user_id % 256 as varchar) || '.' || cast(event_id % 300 as varchar) || '.7' as ip, 'VLAN ' || cast(event_id % 90 as varchar) as vlan, 'Gi0/' || cast(event_id % 24 as varchar) as interface,
-    case when event_id % 3 = 0 then 'high' else 'low' end as severity, 'user' || cast(user_id as varchar) as requester, strftime(ts, '%d/%m/%Y') as time from events where event_type = 'error'""")
+    case when event_id % 3 = 0 then 'high' else 'low' end as severity, 'user' || cast(user_id as varchar) as requester, """ + get("raw_text", r"(\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b)") + """ as time from events join tickets on doc_id = event_id""")
 def ticket_fields(spark, d):
     t = S.rendered(spark, d, "tickets").select("doc_id", E.ticket_fields(F.col("raw_text")).alias("t"))
     j = lambda n: F.array_join("t." + n, "|").alias(n)
@@ -338,7 +339,7 @@ def document_logic(spark, d):
     return df.select("doc_id", E.document_logic(F.col("raw_text"), FD.field_columns(), F.lit(50.0)).alias("score"))
 
 
-@query("line_scores", with_(more=line_rows()) + f"select doc_id, line_no, floor((length(line) + {num('line', '[ก-ฮ]')} * 2 + {num('line', '[A-Za-z0-9]')} * 0.8 - {num('line', '[�{}<>~`^|]')} * 8) * 10 + 0.5) as score from ls where not {num('line', '(!!!!!|&&&&&|%%%%%|zzzzz)')} > 0")
+@query("line_scores", with_(more=line_rows()) + f"select doc_id, line_no, floor((length(line) + {num('line', '[ก-ฮ]')} * 2 + {num('line', '[A-Za-z0-9]')} * 0.8 - {num('line', '[�{}<>~`^|]')} * 8 - {num('line', run_pattern(5))} * 10) * 10 + 0.5) as score from ls")
 def line_scores(spark, d):
     rows = T.split_lines(D(spark, d))
     return rows.select("doc_id", "line_no", F.floor(Q.accuracy_line_score(F.col("line")) * 10 + F.lit(0.5)).alias("score"))
@@ -405,7 +406,7 @@ def page_accuracy_report(spark, d):
     return PG.page_accuracy_report(pages).select("doc_id", "page_no", "source_kind", "fields", "field_issues", "suspicious", "symbol_score", "review_required")
 
 
-@query("final_confidence", with_("image_metrics") + "select doc_id, floor(greatest(0, least(100, avg / 3 * 0.35 + contrast * 0.20 + blur * 0.25 + contrast * 0.10 + blur * 0.10 - least(18.0, (doc_id % 30) * 0.8) - (doc_id % 3) * 4 + case when doc_id % 5 = 0 then 4 else 0 end)) * 10 + 0.5) / 10 as confidence from image_metrics")
+@query("final_confidence", with_("image_metrics") + "select doc_id, floor(greatest(0, least(100, avg / 3 * 0.35e0 + contrast * 0.20e0 + blur * 0.25e0 + contrast * 0.10e0 + blur * 0.10e0 - least(18e0, (doc_id % 30) * 0.8e0) - (doc_id % 3) * 4 + case when doc_id % 5 = 0 then 4 else 0 end)) * 10 + 0.5) / 10 as confidence from image_metrics")
 def final_confidence(spark, d):
     i = F.col("doc_id")
     c = Q.final_confidence(F.col("avg") / 3, F.col("contrast"), F.col("blur"), F.col("blur"), F.col("contrast"), i % 30, i % 3, i % 5 == 0)
@@ -469,7 +470,7 @@ _PW = "pw as (select distinct lower(w) as d from (select unnest(string_split(p_n
 @query("dictionary_match", f"with {_PW}, w2 as (select distinct lower(w) as word from ww) select word, coalesce(max(case when word = d then 100 when contains(d, word) or contains(word, d) then 65 else 0 end), 0) as score, max(case when word = d then 1.0 else 1 - cast(levenshtein(word, d) as double) / greatest(length(word), length(d)) end) filter (1 - cast(levenshtein(word, d) as double) / greatest(length(word), length(d)) > 0.72) as similarity from w2, pw group by word")
 def dictionary_match(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    names = part.select(F.lower(F.explode(F.split("p_name", " "))).alias("word")).distinct()
+    names = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
     bent = names.select(F.replace(F.replace("word", F.lit("i"), F.lit("1")), F.lit("ge"), F.lit("g")).alias("word"))
     seen = bent.unionAll(part.select(F.col("p_type").alias("word"))).unionAll(names)
     return M.dictionary_match(seen, names).select("word", "score", "similarity")

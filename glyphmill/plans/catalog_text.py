@@ -351,11 +351,14 @@ def text_usability(spark, d):
     return D(spark, d).select("doc_id", R.usable(c).alias("usable"), R.blank(c).alias("blank_app"), R.blank(c, 3, True).alias("blank_service"))
 
 
-def runs(expr: str, n: int) -> str:
-    """Backreference-free test for n equal characters in a row (letters and ASCII signs)."""
+def run_pattern(n: int) -> str:
+    """Backreference-free pattern of n equal characters in a row (letters and ASCII signs)."""
     chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789ßäçèéêíñóöüÄÇÈÉÊÍÑÓÖÜ"
-    signs = "".join(f"|\\{c}{{{n},}}" for c in "!#$%&()*+,-./:;=?@[]_{}|<>\"")
-    return f"regexp_matches({expr}, {lit('|'.join(f'{c}{{{n},}}' for c in chars) + signs)})"
+    return "|".join(f"{c}{{{n},}}" for c in chars) + "".join(f"|\\{c}{{{n},}}" for c in "!#$%&()*+,-./:;=?@[]_{}|<>\"")
+
+
+def runs(expr: str, n: int) -> str:
+    return hit(expr, run_pattern(n))
 
 
 _MARKS = r"[;:=\-_=~`!|Il0oO.\[\]{}()<>/\\]"
