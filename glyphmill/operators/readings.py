@@ -222,10 +222,10 @@ def neighbour_vote(candidates: DataFrame, voters: int = 5, min_sim: float = 0.45
     offers = rows.select(*keys, "rank", "j", "line", F.explode(
         F.when(F.col("rank") == 1, F.array("j")).otherwise(F.array(F.col("j") - 1, F.col("j"), F.col("j") + 1))).alias("i"))
     grouped = offers.groupBy(*keys, "i").agg(
-        F.max(F.when(F.col("rank") == 1, F.struct("line"))).alias("base"),
+        F.max(F.when(F.col("rank") == 1, F.struct("line"))).alias("_base"),
         F.sort_array(F.collect_list(F.when((F.col("rank") > 1) & (F.col("line") != ""), F.struct("rank", "j", "line")))).alias("offers"),
-    ).where(F.col("base").isNotNull())
-    base = F.col("base.line")
+    ).where(F.col("_base").isNotNull())
+    base = F.col("_base.line")
     start = F.struct(base.alias("line"), Q.accuracy_line_score(base).alias("s"))
 
     def swap(acc, o):
