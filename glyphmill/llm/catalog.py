@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import sentencepiece_chunks
+from . import minhash, ngram_bloom, sentencepiece_chunks, substring
 from .shared import table
 
 QUERIES: dict = {}
@@ -16,6 +16,19 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_bloom(spark, sf_dir):
+    """Unigram and bigram scores of every document, learnt from those that aren't held out."""
+    held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
+    return ngram_bloom.score(table(spark, sf_dir, "documents"), held_out)
+
+
+@query
+def op5_setsketch(spark, sf_dir):
+    """Near-duplicate groups of every document at a Jaccard similarity of 0.85 on five-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_sentencepiece(spark, sf_dir, model_path=None):
     """Ids and decoded text of every document under the 32k model, as digests."""
@@ -26,3 +39,10 @@ def op7_sentencepiece(spark, sf_dir, model_path=None):
     out = sentencepiece_chunks.encode(table(spark, sf_dir, "documents"), sentencepiece_chunks.read_model(model_path))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_doubling(spark, sf_dir):
+    """Every document without the words of 20-word windows that start earlier elsewhere, as digests."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -92,6 +92,17 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+def word_hashes(text: pa.Array, lower: bool = False, batch_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a batch of any size, and where each text's begin (one more than texts)."""
+    hashes, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    text = text.cast(pa.large_string())
+    for lo, hi in text_slices(batch_bytes, text):
+        w = Words(text.slice(lo, hi - lo))
+        hashes.append(w.hashes(lower))
+        counts.append(w.counts)
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` hashes from each position on; positions within the last ``size - 1`` hold garbage."""
     n = len(hashes)
