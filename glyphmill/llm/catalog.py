@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, ngram_bloom, sentencepiece_chunks, substring
+from . import minhash, ngram_bloom, sentencepiece_chunks, substring, toxicity
 from .shared import table
 
 QUERIES: dict = {}
@@ -29,6 +29,13 @@ def op5_setsketch(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_toxicity_chain(spark, sf_dir):
+    """Chained probabilities of low quality and toxicity for every document."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels)
+
+
 @query
 def op7_sentencepiece(spark, sf_dir, model_path=None):
     """Ids and decoded text of every document under the 32k model, as digests."""
