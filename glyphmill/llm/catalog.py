@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, ngram_bloom, sentencepiece_chunks, substring, toxicity
+from . import bit_sliced, lattice, minhash, ngram_bloom, sentencepiece_chunks, substring, toxicity
 from .shared import table
 
 QUERIES: dict = {}
@@ -23,6 +23,12 @@ def op1_ngram_bloom(spark, sf_dir):
     return ngram_bloom.score(table(spark, sf_dir, "documents"), held_out)
 
 
+@query
+def op3_lattice(spark, sf_dir):
+    """Links, components and representatives of all vectors at a cosine of 0.9."""
+    return lattice.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_setsketch(spark, sf_dir):
     """Near-duplicate groups of every document at a Jaccard similarity of 0.85 on five-word shingles."""
@@ -53,3 +59,19 @@ def op8_doubling(spark, sf_dir):
     """Every document without the words of 20-word windows that start earlier elsewhere, as digests."""
     out = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op10_bit_sliced(spark, sf_dir):
+    """The 20 largest integer inner products of every vector whose id is divisible by 20."""
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+ORACLES["op10_bit_sliced"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+    where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20"""
