@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bit_sliced, lattice, minhash, ngram_bloom, sentencepiece_chunks, substring, toxicity
+from . import bit_sliced, lattice, minhash, mixing, ngram_bloom, secret_scan, sentencepiece_chunks, substring, toxicity
 from .shared import table
 
 QUERIES: dict = {}
@@ -75,3 +75,33 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.e as
     from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20"""
+
+
+@query
+def op2_secret_scan(spark, sf_dir):
+    """Secrets in every document: counts and digests of the fixed kinds, and all spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(secret_scan.named(base), 256).alias("base_sha256"),
+                        secret_scan.named(F.concat(base, "entropy")).alias("spans"))
+
+
+@query
+def op9_source_mix(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# The schedule gives every source the blocks up to its target, so the words taken are an overlap of intervals.
+ORACLES["op9_source_mix"] = """
+with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as digest from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, [3.0::double, 1.0::double, 2.0::double][((row_number() over (order by source is null, source) - 1) % 3) + 1] as weight, source_size * 2.0::double as cap from s),
+l as (select *, row_number() over o as k, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0.0::double))
+        / sum(weight) over (o rows between current row and unbounded following) as level from w window o as (order by cap / weight, source is null, source)),
+f as (select arg_min(level, k) as level from l where cap > level * weight),
+t as (select source, source_size, least(cap, coalesce(f.level * weight, cap)) as target from l left join f on true),
+p as (select d.*, coalesce(cast(sum(size) over (partition by source order by digest, doc_id, size rows between unbounded preceding and 1 preceding) as bigint), 0) as start from d),
+j as (select p.doc_id, p.size, t.source_size, t.target, p.start, cast(floor(t.target + 0.5) as bigint) as take from p join t on p.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+    greatest(0, least(size, take - start)) + greatest(0, least(size, take - source_size - start)) as taken from j"""
