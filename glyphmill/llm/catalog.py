@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bit_sliced, lattice, minhash, mixing, ngram_bloom, secret_scan, sentencepiece_chunks, substring, toxicity
+from . import bit_sliced, lattice, minhash, mixing, ngram_bloom, secret_scan, sentencepiece_chunks, substring, toxicity, url_filter
 from .shared import table
 
 QUERIES: dict = {}
@@ -29,6 +29,12 @@ def op3_lattice(spark, sf_dir):
     return lattice.linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op4_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_setsketch(spark, sf_dir):
     """Near-duplicate groups of every document at a Jaccard similarity of 0.85 on five-word shingles."""

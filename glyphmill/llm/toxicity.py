@@ -138,6 +138,22 @@ def train(docs: DataFrame, labels: DataFrame, label_cols: list[str], sample: int
     return words, fit_chain(row, feature, len(words), y)
 
 
+def scorer(words: np.ndarray, models: list[np.ndarray]):
+    """A function from an array of texts to their probabilities, a column for each label; without words nothing is likely."""
+
+    def run(text: pa.Array) -> np.ndarray:
+        text, out = text.cast(pa.large_string()), [np.zeros((0, len(models)))]
+        for lo, hi in text_slices(1 << 20, text):
+            doc, at = known(text.slice(lo, hi - lo), words)
+            p = np.zeros((hi - lo, 0))
+            for model in models:
+                p = np.column_stack([p, probability(margin(doc, at, hi - lo, p, model)) if len(words) else np.zeros(hi - lo)])
+            out.append(p)
+        return np.concatenate(out)
+
+    return run
+
+
 def known(text: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and index of each selected word present."""
     h, doc = features(text)
@@ -153,22 +169,29 @@ def classify(docs: DataFrame, labels: DataFrame, label_cols=("low_quality", "tox
     """``(doc_id, p_<label>..., is_<last label>)`` for every row; the last label of the chain is judged at ``cutoff``.
 
     A null text counts as empty, an empty text gets the models' constants; rows with a null id are scored like others. Repeated rows are
-    scored alike. Without labelled rows every probability is 0.5 and nothing is judged positive. Extra columns are not carried.
+    scored alike. Without telling words (no labelled rows, say) every probability is 0. Extra columns are not carried.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words, models = train(docs, labels, list(label_cols), sample, wanted, least_gain)
+    scores = scorer(*train(docs, labels, list(label_cols), sample, wanted, least_gain))
     names = [f"p_{c}" for c in label_cols]
-    blind = not len(words)
 
     def run(batches):
         for b in batches:
-            text = b.column(1).cast(pa.large_string())
-            for lo, hi in text_slices(1 << 20, text):
-                doc, at = known(text.slice(lo, hi - lo), words)
-                extra = np.zeros((hi - lo, 0))
-                for model in models:
-                    extra = np.column_stack([extra, probability(margin(doc, at, hi - lo, extra, model))])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(np.ascontiguousarray(extra[:, c])) for c in range(len(names))],
-                                                  pa.array((extra[:, -1] >= cutoff) & (not blind))], names=["doc_id", *names, f"is_{label_cols[-1]}"])
+            p = scores(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(p[:, c])) for c in range(len(names))], pa.array(p[:, -1] >= cutoff)],
+                                             names=["doc_id", *names, f"is_{label_cols[-1]}"])
 
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names) + f", is_{label_cols[-1]} boolean")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, label_cols=("low_quality", "toxic"), id_col: str = "doc_id", text_col: str = "text",
+               cutoff: float = 0.3, sample: int = 20000, wanted: int = 1024, least_gain: float = 10.0) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``classify`` doesn't judge positive."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    scores = scorer(*train(plain, labels, list(label_cols), sample, wanted, least_gain))
+
+    @F.arrow_udf("boolean")
+    def positive(text: pa.Array) -> pa.Array:
+        return pa.array(scores(text)[:, -1] >= cutoff)
+
+    return docs.where(~positive(F.coalesce(F.col(text_col), F.lit(""))))
