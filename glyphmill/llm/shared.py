@@ -47,6 +47,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def pieces(docs: DataFrame, piece_bytes: int = 4 << 20, text_col: str = "text") -> int:
+    """Into how many chunks of about ``piece_bytes`` the texts go: what is exchanged between chunks follows the data, not the number of partitions."""
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    return int(size // piece_bytes) + 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import LAST, Chunk, by_chunk, chunk_of, pack, unpack
-from .shared import partitions, stage, texts
+from .shared import pieces, stage, texts
 from .words import U, window_starts, windows, word_hashes
 
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -100,9 +100,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         levels.append(levels[-1] * 2)
     if levels[-1] != length or len(levels) < 3:
         raise ValueError("length must be first doubled at least twice")
-    parts = partitions(docs.sparkSession)
-    buckets, chunks = 4 * parts, 4 * parts + 1
-    docs = by_chunk(texts(docs, id_col, text_col), chunks)
+    docs = texts(docs, id_col, text_col)
+    buckets = chunks = pieces(docs) | 1
+    docs = by_chunk(docs, chunks)
 
     def anchors(batches):
         for b in batches:
