@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def bands(batches):
         for b in batches:
-            sketch = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BANDS * 2, ROWS)[:, :BANDS].astype(U)
+            sketch = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS)[:, :BANDS].astype(U)
             with np.errstate(over="ignore"):
                 key = mix(sketch[:, :, 0] + (sketch[:, :, 1] << U(16)) + (sketch[:, :, 2] << U(32)) + (sketch[:, :, 3] << U(48)))
                 key = mix(key + np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)).view(np.int64)

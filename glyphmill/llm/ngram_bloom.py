@@ -105,7 +105,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(size * bits_per_byte / most_bits))
-    bits = max(1 << 16, min(most_bits, 1 << math.ceil(math.log2(max(1.0, size * bits_per_byte / shards)))))
+    bits = max(1 << 20, min(most_bits, 1 << math.ceil(math.log2(max(1.0, size * bits_per_byte / shards)))))
     segment_bits = bits // SEGMENTS
     sent = "kind int, bucket int, n long, entries binary"
 
