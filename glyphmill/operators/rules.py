@@ -1,109 +1,87 @@
-"""Ordered rule tables: guarded replacement with a fix log, word joins, rule hits."""
+"""Ordered rule tables: guarded replacement with a fix log, word joins, rule hits. All of it is column expressions."""
 
 from __future__ import annotations
 
 import re
-from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..fixed import Rule
 from ..functions.text import TONES, count, fold_set, has, sub, trim
-from ..patterns import py, quote, spaced
+from ..patterns import java, quote, spaced
 
 FIXES = "array<struct<from:string,to:string>>"
-_DIGITS_ONLY = re.compile(r"^[๐-๙0-9.,:;\-_=+\s]+$")
-_LETTER = re.compile(r"[ก-ฮA-Za-z]")
-_REF = re.compile(r"\$(\d+)")
-_SPACE = re.compile(r"\s")
-
-
-def is_unsafe_fix(match: str, fixed_text: str) -> bool:
-    """A fix that would invent text: much longer than a short match, or letters from digits."""
-    a, b = match.strip(), fixed_text.strip()
-    if not a or not b:
-        return False
-    m, n = len(_SPACE.sub("", a)), len(_SPACE.sub("", b))
-    return (m <= 3 and n > m + 1) or (m < 16 and n > m + 8) or bool(_DIGITS_ONLY.match(a) and _LETTER.search(b))
-
-
-def _expand(replacement: str, m: re.Match) -> str:
-    def ref(r):
-        i = int(r.group(1))
-        value = m.group(i) if i <= m.re.groups else None
-        return r.group(0) if value is None else value
-
-    return _REF.sub(ref, replacement) if "$" in replacement else replacement
-
-
-def _compile(rule_list):
-    """Drop literal rules the guard always skips, compile the rest once per worker."""
-    out = []
-    for r in rule_list:
-        if r.is_literal:
-            if r.pattern and not is_unsafe_fix(r.pattern, r.replacement):
-                out.append((None, r.pattern, r.replacement, 0))
-        else:
-            out.append((py(r.pattern, r.flags), None, r.replacement, 1 if r.first_only else 0))
-    return out
-
-
-def _run(text: str, compiled) -> tuple[str, list]:
-    fixes = []
-    for regex, literal, replacement, limit in compiled:
-        if regex is None:
-            n = text.count(literal)
-            if n:
-                fixes.extend([(literal, replacement)] * n)
-                text = text.replace(literal, replacement)
-            continue
-
-        def swap(m, replacement=replacement):
-            found = m.group(0)
-            new = _expand(replacement, m)
-            if is_unsafe_fix(found, new):
-                return found
-            if new != found:
-                fixes.append((found, new))
-            return new
-
-        text = regex.sub(swap, text, count=limit)
-    return text, fixes
-
-
-def _runner(rule_list):
-    @F.pandas_udf(f"struct<text:string,fixes:{FIXES}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        compiled = _compile(rule_list)
-        for s in batches:
-            done = [(None, None) if t is None else _run(t, compiled) for t in s]
-            yield pd.DataFrame({
-                "text": [t for t, _ in done],
-                "fixes": [None if f is None else [{"from": a, "to": b} for a, b in f] for _, f in done],
-            })
-
-    return run
+# Fixed values of the guard: a match of at most so many characters may grow by so many at most.
+GROWTH = ((3, 1), (15, 8))
+NUMBERS = r"^[๐-๙0-9.,:;\-_=+\s]+$"
+LETTERS = "[ก-ฮA-Za-z]"
+SPACES = r"\s"
+
+
+def _lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _guard(found: str, put: str) -> str:
+    """SQL of the guard: a change that grows a short match too far or turns digits into letters."""
+    size = lambda c: f"length(regexp_replace({c}, {_lit(SPACES)}, ''))"
+    grows = " or ".join(f"({size(found)} <= {n} and {size(put)} > {size(found)} + {most})" for n, most in GROWTH)
+    letters = f"({put} rlike {_lit(LETTERS)} and trim({found}) rlike {_lit(NUMBERS)})"
+    return f"({size(found)} > 0 and {size(put)} > 0 and ({grows} or {letters}))"
+
+
+def _literal(rule: Rule) -> str:
+    old, put = _lit(rule.pattern), _lit(rule.replacement)
+    times = f"cast((length(s.text) - length(replace(s.text, {old}, ''))) / {len(rule.pattern)} as int)"
+    done = f"named_struct('text', replace(s.text, {old}, {put}), 'fixes', concat(s.fixes, array_repeat(named_struct('from', {old}, 'to', {put}), {times})))"
+    return f"if(contains(s.text, {old}) and not {_guard(old, put)}, {done}, s)"
+
+
+def _pattern(rule: Rule) -> str:
+    """Text between the matches, the matches and what is to replace them side by side; each match is judged by itself."""
+    pattern = _lit(java(rule.pattern, rule.flags))
+    every = lambda g: f"regexp_extract_all(s.text, {pattern}, {g})"
+    if rule.first_only:
+        every = lambda g: f"slice(regexp_extract_all(s.text, {pattern}, {g}), 1, 1)"
+    cut = re.split(r"\$(\d+)", rule.replacement)
+    groups = list(dict.fromkeys(cut[1::2]))
+    put = "concat(" + ", ".join(f"p.`{groups.index(x) + 2}`" if k % 2 else _lit(x) for k, x in enumerate(cut)) + ")"
+    columns = ", ".join([f"split(s.text, {pattern}, {2 if rule.first_only else -1})", *map(every, ["0", *groups])])
+    parts = f"transform(arrays_zip({columns}), p -> named_struct('b', p.`0`, 'm', p.`1`, 'n', {put}))"
+    # The last part has no match behind it.
+    judged = f"transform({parts}, p -> named_struct('b', p.b, 'm', p.m, 'n', if(p.m is null, '', if({_guard('p.m', 'p.n')}, p.m, p.n))))"
+    step = ("named_struct('text', concat(d.text, p.b, p.n), 'fixes', "
+            "if(p.m is null or p.m = p.n, d.fixes, concat(d.fixes, array(named_struct('from', p.m, 'to', p.n)))))")
+    test = _lit(java(rule.pattern, rule.flags, ""))
+    return f"if(s.text rlike {test}, aggregate({judged}, named_struct('text', '', 'fixes', s.fixes), (d, p) -> {step}), s)"
 
 
 def apply_rules(df: DataFrame, rule_list, text_col: str, out_col: str | None = None, fixes_col: str = "fixes",
                 only_if: Column | None = None) -> DataFrame:
     """Guarded rules in order over ``text_col``; every change is appended to ``fixes_col``.
 
-    ``only_if`` keeps rows that no rule can touch out of the Python workers.
-    Text and log are separate top-level columns: the optimizer would inline a
-    struct into each of its readers.
+    A rule costs one test where it doesn't match. ``only_if`` leaves out rows that no rule can touch. A null text stays null.
     """
-    text = F.col(text_col)
-    done = _runner(list(rule_list))(text if only_if is None else F.when(only_if, text))
-    log = F.coalesce(F.col("_done.fixes"), F.array().cast(FIXES))
-    if fixes_col in df.columns:
-        log = F.concat(fixes_col, log)
-    return (
-        df.withColumn("_done", done).withColumn(fixes_col, log)
-        .withColumn(out_col or text_col, F.coalesce(F.col("_done.text"), text)).drop("_done")
-    )
+    rule_list = [r for r in rule_list if r.pattern]
+    if not rule_list:
+        return df if out_col in (None, text_col) else df.withColumn(out_col, F.col(text_col))
+    log = F.col(fixes_col) if fixes_col in df.columns else F.array().cast(FIXES)
+
+    def tree(lo: int, hi: int) -> str:
+        """The rule with number ``i`` of those from ``lo`` up to ``hi``, found by halving."""
+        if hi - lo == 1:
+            return (_literal if rule_list[lo].is_literal else _pattern)(rule_list[lo])
+        mid = (lo + hi) // 2
+        return f"if(i < {mid}, {tree(lo, mid)}, {tree(mid, hi)})"
+
+    df = df.withColumn("_go", F.col(text_col).isNotNull() & (F.lit(True) if only_if is None else only_if))
+    df = df.withColumn("_begin", F.struct(F.col(text_col).alias("text"), log.alias("fixes")))
+    # One fold over the rule numbers, so the plan stays flat however many rules there are.
+    numbers = f"if(_go, sequence(0, {len(rule_list) - 1}), cast(array() as array<int>))"
+    df = df.withColumn("_done", F.expr(f"aggregate({numbers}, _begin, (s, i) -> {tree(0, len(rule_list))})"))
+    return df.withColumn(fixes_col, F.col("_done.fixes")).withColumn(out_col or text_col, F.col("_done.text")).drop("_done", "_begin", "_go")
 
 
 def typed_fixes(fixes: Column) -> Column:
@@ -112,15 +90,21 @@ def typed_fixes(fixes: Column) -> Column:
         f["from"].alias("from"), f["to"].alias("to"), fix_type(f["from"], f["to"]).alias("type")))
 
 
+# Labels of a fix in order, each with the patterns of which one must occur in the text before, or in both texts. The first
+# pattern counts only where the text was removed.
+FIX_LABELS = (
+    ("ลบอักษรแปลก", "removed", r"[^\w\sก-ฮ" + TONES + r".,:;()/\-+%]"),
+    ("ลบอักษรแปลก", "before", "[�ƟθϴƩΣÉÊÈË○●◦▪▫◆◇□■💀]"),
+    ("แก้ช่องว่าง", "before", rf"\s{{2,}}|[เแโใไ]\s+[ก-ฮ]|[ก-ฮ]\s+[{TONES}]"),
+    ("Dictionary หลายสาย", "both", "[A-Za-z]"),
+)
+OTHER_FIX = "แก้คำไทย"
+
+
 def fix_type(before: Column, after: Column) -> Column:
-    """Label of one fix."""
-    odd = r"[^\w\sก-ฮ" + TONES + r".,:;()/\-+%]"
-    return (
-        F.when(((after == "") & has(before, odd)) | has(before, "[�ƟθϴƩΣÉÊÈË○●◦▪▫◆◇□■💀]"), "ลบอักษรแปลก")
-        .when(has(before, rf"\s{{2,}}|[เแโใไ]\s+[ก-ฮ]|[ก-ฮ]\s+[{TONES}]"), "แก้ช่องว่าง")
-        .when(has(F.concat(before, after), "[A-Za-z]"), "Dictionary หลายสาย")
-        .otherwise("แก้คำไทย")
-    )
+    """Label of one fix: the first of the table that fits."""
+    where = {"removed": F.when(after == "", before), "before": before, "both": F.concat(before, after)}
+    return F.coalesce(*[F.when(has(where[side], pattern), F.lit(label)) for label, side, pattern in FIX_LABELS], F.lit(OTHER_FIX))
 
 
 def is_ascii_rule(r: Rule) -> bool:

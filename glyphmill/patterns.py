@@ -37,9 +37,12 @@ def _map_atoms(pattern: str, boundary: str, end: str) -> str:
     return "".join(out)
 
 
-def java(pattern: str, flags: str = "") -> str:
-    """Spark form: explicit ASCII boundaries, true end anchor, ``\\n``-only lines."""
-    body = _map_atoms(pattern, BOUNDARY, "$" if "m" in flags else r"\z")
+def java(pattern: str, flags: str = "", boundary: str = BOUNDARY) -> str:
+    """Spark form: explicit ASCII boundaries, true end anchor, ``\\n``-only lines.
+
+    With an empty ``boundary`` it is a cheap test that every match passes.
+    """
+    body = _map_atoms(pattern, boundary, "$" if "m" in flags else r"\z")
     on = "".join(f for f in "im" if f in flags)
     if any(c in pattern for c in ".^$"):
         on += "d"

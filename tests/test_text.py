@@ -32,8 +32,9 @@ def test_columns(spark):
     assert r.removed["zero_width"] == 1 and r.removed["bullet"] == 1 and r.removed["junk_line"] == 1
 
 
-def test_guard():
-    assert U.is_unsafe_fix("ab", "abcdef") and U.is_unsafe_fix("12", "ab") and not U.is_unsafe_fix("SD WAN", "SD-WAN")
+def test_guard(spark):
+    rows = spark.createDataFrame([("ab", "abcdef", True), ("12", "ab", True), ("SD WAN", "SD-WAN", False), ("", "abcdef", False), ("abcd", "x" * 13, True)], "a string, b string, want boolean")
+    assert all(r["got"] == r["want"] for r in rows.withColumn("got", F.expr(U._guard("a", "b"))).collect())
 
 
 def test_rule_runner(spark):
