@@ -50,7 +50,7 @@ def clean_text(df: DataFrame, text_col: str = "raw_text", level: str = "safe", c
     raw = P.ws_normalize(F.col(text_col))
     df = df.withColumn("_raw", raw)
     if level == "raw":
-        return df.withColumn("cleaned_text", line_trim(F.col("_raw"))).withColumn(
+        return df.withColumn("cleaned_text", F.col("_raw")).withColumn(
             "fixes", F.array().cast(_NO_FIXES)).drop("_raw")
     # One step per projection: a Python function inside a projection makes the
     # optimizer inline every step below it.
@@ -73,7 +73,7 @@ def clean_text(df: DataFrame, text_col: str = "raw_text", level: str = "safe", c
         df = df.withColumn("_text", P.repair_email_domain(F.col("_text")))
     if level in ("strict", "aggressive"):
         df = df.withColumn("_text", P.strip_strange(F.col("_text"))["text"])
-        thai_rules = list(fixed.rules("noise")) + list(fixed.rules("thai_pairs")) + join_rules(fixed.words("join"))
+        thai_rules = list(fixed.rules("noise")) + list(fixed.rules("thai_pairs")) + join_rules(fixed.words("join")) + list(fixed.rules("split_words"))
         df = apply_rules(df, thai_rules, "_text")
         df = apply_rules(df.withColumn("_text", drop_ui_lines(F.col("_text"))), fixed.rules("ui"), "_text")
         joined = lambda c: join_spaced_words(c, fixed.words("join"))

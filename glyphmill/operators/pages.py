@@ -30,11 +30,6 @@ def choose_page_source(pages: DataFrame, strategy: str = "auto", margin: float =
     ).drop("_layer", "_ocr", "_usable")
 
 
-def method_label(method: Column) -> Column:
-    return (F.when(method == "text-layer", "Text Layer").when(method == "ocr", "Scanned OCR").when(method == "mixed", "Mixed Best Page")
-            .when(method == "blank", "Blank Skipped").otherwise("PDF"))
-
-
 def page_features(pages: DataFrame, x_spread: str | None = None) -> DataFrame:
     """Language, layout, size and the blank flag of each page."""
     text = F.col("raw_text")
@@ -43,17 +38,18 @@ def page_features(pages: DataFrame, x_spread: str | None = None) -> DataFrame:
         "char_count", F.length(P.compact(text))).withColumn("skipped_blank", R.blank(text))
 
 
-def line_and_word_confidence(pages: DataFrame, keys=("doc_id", "page_no"), words: int = 160, low_lines: int = 12, low_words: int = 20) -> DataFrame:
-    """Low-confidence lines and words of a page, with the display limits of the report."""
+def line_and_word_confidence(pages: DataFrame, keys=("doc_id", "page_no"), words: int | None = None, low_lines: int | None = None, low_words: int | None = None) -> DataFrame:
+    """Low-confidence lines and words of a page, all of them unless display limits are given."""
+    some = lambda a, n: a if n is None else F.slice(a, 1, n)
     base, method = F.col("confidence"), F.col("method")
     start = F.when(F.coalesce(base, F.lit(0)) == 0, 76).otherwise(base)
     lines = F.transform(P.lines_of(F.col("raw_text")), lambda x, i: F.struct(
         (i + 1).alias("line_no"), x.alias("text"), Q.line_confidence(x, base, method).alias("confidence")))
-    tokens = F.transform(F.slice(P.words_of(F.col("raw_text")), 1, words), lambda x: F.struct(
+    tokens = F.transform(some(P.words_of(F.col("raw_text")), words), lambda x: F.struct(
         x.alias("text"), Q.line_confidence(x, base, method).alias("confidence")))
     return pages.withColumn(
-        "low_lines", F.slice(F.filter(lines, lambda x: x["confidence"] < F.greatest(F.lit(65), start - 14)), 1, low_lines)).withColumn(
-        "low_words", F.slice(F.filter(tokens, lambda x: x["confidence"] < F.greatest(F.lit(60), start - 18)), 1, low_words))
+        "low_lines", some(F.filter(lines, lambda x: x["confidence"] < F.greatest(F.lit(65), start - 14)), low_lines)).withColumn(
+        "low_words", some(F.filter(tokens, lambda x: x["confidence"] < F.greatest(F.lit(60), start - 18)), low_words))
 
 
 def page_accuracy_report(pages: DataFrame, check_set: str = "review") -> DataFrame:

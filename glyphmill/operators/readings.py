@@ -10,8 +10,6 @@ from ..functions import scores as Q, text as P
 from ..functions.predicates import mojibake
 from .rules import accuracy_spell
 
-ENGINES = ("ocr-1", "ocr-2", "ocr-3", "ocr-4", "ocr-5")
-
 
 def normal_key(c: Column) -> Column:
     """Comparison key of a line or word: lower case, no whitespace, no bars."""
@@ -24,20 +22,19 @@ def reading_lines(candidates: DataFrame, keys=("doc_id",), text: str = "text", s
     return rows.select(*keys, "engine_id", "confidence", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def align_candidates(candidates: DataFrame, engines=ENGINES, keys=("doc_id",), **kw) -> DataFrame:
-    """Line *i* of every engine side by side: one hash aggregate on (document, line).
+def align_candidates(candidates: DataFrame, keys=("doc_id",), text: str = "text", squeeze: bool = False) -> DataFrame:
+    """Line *i* of every reading of a document side by side, whatever the engines are called.
 
-    ``r`` is an array in engine order of STRUCT<engine, text, confidence>.
+    ``r`` is an array in engine order of STRUCT<engine, text, confidence>; a reading without that line keeps its confidence. One row a
+    reading is shuffled, and the lines are laid side by side inside the document's row.
     """
-    rows = reading_lines(candidates, keys, **kw)
-    picks = [
-        F.first(F.when(F.col("engine_id") == e, F.struct(F.lit(e).alias("engine"), F.col("line").alias("text"),
-                                                          F.col("confidence").alias("confidence"))), ignorenulls=True).alias(f"e{i}")
-        for i, e in enumerate(engines)
-    ]
-    wide = rows.groupBy(*keys, "line_no").agg(*picks)
-    none = lambda e: F.struct(F.lit(e).alias("engine"), F.lit("").alias("text"), F.lit(0).alias("confidence"))
-    return wide.select(*keys, "line_no", F.array(*[F.coalesce(f"e{i}", none(e)) for i, e in enumerate(engines)]).alias("r"))
+    split = P.squeezed_lines_of if squeeze else P.lines_of
+    reading = F.struct(F.col("engine_id").alias("engine"), split(F.coalesce(F.col(text), F.lit(""))).alias("lines"), F.coalesce("confidence", F.lit(0)).alias("confidence"))
+    wide = candidates.select(*keys, reading.alias("_r")).groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_r"))
+    most = F.array_max(F.transform("_r", lambda x: F.size(x["lines"])))
+    rows = wide.where(most > 0).select(*keys, "_r", F.explode(F.sequence(F.lit(1), most)).alias("line_no"))
+    side = F.transform("_r", lambda x: F.struct(x["engine"].alias("engine"), F.coalesce(F.get(x["lines"], F.col("line_no") - 1), F.lit("")).alias("text"), x["confidence"].alias("confidence")))
+    return rows.select(*keys, "line_no", side.alias("r"))
 
 
 def majority_line(aligned: DataFrame, min_votes: int = 3, full_score: bool = True) -> DataFrame:
@@ -61,8 +58,8 @@ def majority_line(aligned: DataFrame, min_votes: int = 3, full_score: bool = Tru
     return df.select(
         *[c for c in aligned.columns],
         F.coalesce("_w.text", "_best.text").alias("decision"),
-        F.when(F.col("_w").isNotNull(), F.concat(F.lit("Majority vote "), F.col("_n").cast("string"), F.lit("/5")))
-        .otherwise("OQC reviewed best candidate").alias("reason"),
+        F.when(F.col("_w").isNotNull(), F.concat(F.lit("Majority vote "), F.col("_n").cast("string"), F.lit("/"), F.size("r").cast("string")))
+        .otherwise("Best scored reading").alias("reason"),
         F.when(F.col("_w").isNotNull(), F.least(F.lit(99), 86 + F.col("_n") * 2)).otherwise(fallback).cast("int").alias("confidence"),
     )
 
@@ -147,26 +144,24 @@ def cluster_vote(aligned: DataFrame, dictionary=(), min_sim: float = 0.76) -> Da
     )
 
 
-def engine_agreement(candidates: DataFrame, engines=ENGINES, keys=("doc_id",)) -> DataFrame:
-    """Mean share of an engine's distinct words found in each other successful engine.
+def engine_agreement(candidates: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """Mean share of an engine's distinct words found in each other successful engine, in whole percent.
 
-    One aggregate brings the word sets of a document side by side; the pair
-    shares are set intersections inside the row.
+    One aggregate brings the word sets of a document side by side. All shares of an engine have one denominator, so the mean is rounded
+    in whole numbers.
     """
-    ok = F.col("status") == "success"
     words = F.array_distinct(F.transform(P.words_of(F.coalesce("text", F.lit(""))), lambda w: F.lower(w)))
-    wide = candidates.select(*keys, "engine_id", ok.alias("ok"), words.alias("w")).groupBy(*keys).agg(*[
-        F.first(F.when(F.col("engine_id") == e, F.struct("ok", "w")), ignorenulls=True).alias(f"e{i}") for i, e in enumerate(engines)])
-    out = []
-    for i, e in enumerate(engines):
-        me = F.col(f"e{i}.w")
-        shares = F.filter(F.array(*[
-            F.when(F.col(f"e{j}.ok"), F.size(F.array_intersect(me, F.col(f"e{j}.w"))) / F.greatest(F.lit(1), F.size(me)) * 100)
-            for j in range(len(engines)) if j != i]), lambda x: x.isNotNull())
-        mean = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / F.size(shares)
-        value = F.when((F.size(me) == 0) | (F.size(shares) == 0), 0).otherwise(P.half_up(mean))
-        out.append(F.when(F.col(f"e{i}").isNotNull(), F.struct(F.lit(e).alias("engine_id"), value.alias("agreement"))))
-    return wide.select(*keys, F.inline(F.filter(F.array(*out), lambda x: x.isNotNull())))
+    reading = F.struct(F.col("engine_id").alias("engine_id"), (F.col("status") == "success").alias("ok"), words.alias("w"))
+    wide = candidates.select(*keys, reading.alias("_r")).groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_r"))
+
+    def agreement(me):
+        others = F.filter("_r", lambda y: (y["engine_id"] != me["engine_id"]) & y["ok"])
+        common = F.aggregate(others, F.lit(0).cast("long"), lambda n, y: n + F.size(F.array_intersect(me["w"], y["w"])))
+        size, k = F.size(me["w"]).cast("long"), F.size(others).cast("long")
+        value = F.when((size > 0) & (k > 0), F.floor((common * 200 + size * k) / (size * k * 2))).otherwise(F.lit(0)).cast("long")
+        return F.struct(me["engine_id"].alias("engine_id"), value.alias("agreement"))
+
+    return wide.select(*keys, F.inline(F.transform("_r", agreement)))
 
 
 def rank_score(confidence, agreement, logic, complete, low_words, broken, improved) -> Column:
@@ -177,7 +172,7 @@ def rank_score(confidence, agreement, logic, complete, low_words, broken, improv
     return P.one_decimal(P.clamp(raw))
 
 
-def score_readings(candidates: DataFrame, engines=ENGINES, keys=("doc_id",), hint: Column | None = None) -> DataFrame:
+def score_readings(candidates: DataFrame, keys=("doc_id",), hint: Column | None = None) -> DataFrame:
     """Completeness, document logic and agreement of every reading."""
     from ..functions import extract as E
     from .fields import FIELD_COLS, field_columns, with_fields
@@ -187,8 +182,9 @@ def score_readings(candidates: DataFrame, engines=ENGINES, keys=("doc_id",), hin
     df = df.withColumn("completeness", F.when(ok, Q.completeness(F.col("text"))).otherwise(0.0))
     logic = E.document_logic(F.col("text"), field_columns(), F.col("completeness"))
     df = df.withColumn("logic", F.when(ok, logic).otherwise(0.0)).drop(*FIELD_COLS)
-    agree = engine_agreement(candidates.withColumn("status", F.when(mojibake(F.col("text"), "engine"), "broken").otherwise(F.col("status"))), engines, keys)
-    return df.join(agree, [*keys, "engine_id"])
+    agree = engine_agreement(candidates.withColumn("status", F.when(mojibake(F.col("text"), "engine"), "broken").otherwise(F.col("status"))), keys)
+    df = df.join(agree, [*keys, "engine_id"], "left")
+    return df.withColumn("agreement", F.when(ok, F.coalesce("agreement", F.lit(0))).otherwise(F.lit(0)))
 
 
 def rank_engines(scored: DataFrame, keys=("doc_id",)) -> DataFrame:
@@ -268,11 +264,12 @@ def low_confidence_words(words: DataFrame, n: int = 12, keys=("doc_id", "engine_
     return weak.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def low_confidence_line_words(lines: DataFrame, n: int = 80, threshold: float = 70, keys=("doc_id",), order=("line_no",)) -> DataFrame:
-    """First ``n`` words on lines below ``threshold``, in reading order."""
+def low_confidence_line_words(lines: DataFrame, n: int | None = None, threshold: float = 70, keys=("doc_id",), order=("line_no",)) -> DataFrame:
+    """Words on lines below ``threshold``, ranked in reading order; the first ``n`` if a number is given."""
     rows = lines.where(F.col("confidence") < threshold).select(*keys, *order, "confidence", F.posexplode(P.words_of(F.col("text"))).alias("pos", "word"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "pos"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= n)
+    ranked = rows.withColumn("rank", rank)
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def confidence_rollup(lines: DataFrame, keys=("doc_id",), page: str = "page_no") -> DataFrame:

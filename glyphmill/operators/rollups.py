@@ -9,14 +9,15 @@ from ..functions import scores as Q, text as P
 from ..functions.scores import occurrences
 
 
-def fix_groups(cleaned: DataFrame, n: int = 80, fixes: str = "fixes") -> DataFrame:
-    """Fixes by type, before and after: the ``n`` most frequent."""
+def fix_groups(cleaned: DataFrame, n: int | None = None, fixes: str = "fixes") -> DataFrame:
+    """Fixes by type, before and after, with their number; the ``n`` most frequent if a number is given."""
     rows = cleaned.select(F.inline(fixes))
-    return rows.groupBy("type", "from", "to").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "type", "from", "to").limit(n)
+    groups = rows.groupBy("type", "from", "to").agg(F.count("*").alias("n"))
+    return groups if n is None else groups.orderBy(F.col("n").desc(), "type", "from", "to").limit(n)
 
 
-def fix_summary(cleaned: DataFrame, n: int = 80) -> DataFrame:
-    """Totals by type over the ``n`` most frequent fixes."""
+def fix_summary(cleaned: DataFrame, n: int | None = None) -> DataFrame:
+    """Totals by type over all fixes, or over the ``n`` most frequent."""
     return fix_groups(cleaned, n).groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
 
 
@@ -43,13 +44,14 @@ SPACING_CHECKS = [
 ]
 
 
-def spell_findings(c: Column, per_check: int = 8) -> Column:
-    """ARRAY<STRUCT<kind, found, suggest>>: the first ``per_check`` hits of a check, distinct."""
+def spell_findings(c: Column, per_check: int | None = None) -> Column:
+    """ARRAY<STRUCT<kind, found, suggest>>: distinct hits of each check, the first ``per_check`` if a number is given."""
     def tagged(found, kind, suggest):
         return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("found"), F.lit(suggest).alias("suggest")))
 
     def hits(kind, checks):
-        return [tagged(F.array_distinct(F.slice(P.find_all(c, p, f), 1, per_check)), kind, s) for p, s, f in checks]
+        some = (lambda a: a) if per_check is None else (lambda a: F.slice(a, 1, per_check))
+        return [tagged(F.array_distinct(some(P.find_all(c, p, f))), kind, s) for p, s, f in checks]
 
     return F.array_distinct(F.concat(*hits("suspicious", WRONG_CHECKS), *hits("spacing", SPACING_CHECKS)))
 
@@ -84,13 +86,13 @@ def benchmark_summary(runs: DataFrame, keys=("engine",)) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count("*").alias("runs"), one("quality_score"), one("cer"), one("wer"))
 
 
-def review_queue(conflicts: DataFrame, issues: DataFrame, n: int = 40, keys=("doc_id",)) -> DataFrame:
-    """Open conflicts (first ``n`` per document) and must-check items, distinct."""
+def review_queue(conflicts: DataFrame, issues: DataFrame, n: int | None = None, keys=("doc_id",)) -> DataFrame:
+    """Open conflicts and must-check items, distinct; the first ``n`` conflicts per document if a number is given."""
     from pyspark.sql import Window
 
     is_open = F.col("conflict") & ~F.col("resolved")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(is_open, 0).otherwise(1), "line_no"))
-    open_ = conflicts.withColumn("_rn", rank).where((F.col("_rn") <= n) & is_open)
+    open_ = conflicts.where(is_open) if n is None else conflicts.withColumn("_rn", rank).where((F.col("_rn") <= n) & is_open)
     open_ = open_.select(*keys, F.lit("conflict").alias("kind"), F.col("selected").alias("item"), F.array_join("candidates", " | ").alias("reason"))
     return open_.unionByName(issues.select(*keys, "kind", "item", "reason")).distinct()
 

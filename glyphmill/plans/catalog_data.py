@@ -252,6 +252,13 @@ def extract_fields(spark, d):
     return out.groupBy("kind", "document_type").agg(F.count("*").alias("n"), F.sum(one).alias("_filled")).select("kind", "document_type", "n")
 
 
+@query("extract_fields_rows")
+def extract_fields_rows(spark, d):
+    """Every document with all of its fields."""
+    out = FD.extract_fields(_mix(spark, d))
+    return out.select("kind", "doc_id", "document_type", *[F.to_json(n).alias(n) for n in ("receipt", "invoice", "ticket", "email", "table", "government")])
+
+
 @query("validate_document", with_("tickets") + "select doc_id, 3 as passed, 3 as total, 100 as score from tickets")
 def validate_document(spark, d):
     return FD.validate_documents(S.rendered(spark, d, "tickets")).select("doc_id", "passed", "total", "score")
@@ -431,7 +438,7 @@ def align_candidates(spark, d):
     select doc_id, line_no, decision, 'Majority vote ' || cast(votes as varchar) || '/5' as reason, least(99, 86 + votes * 2) as confidence from mj""")
 def majority_line(spark, d):
     """Lines with a majority; the scored fallback is covered by ``majority_line_all``."""
-    out = V.majority_line(V.align_candidates(S.candidates(spark, d)), full_score=False)
+    out = V.majority_line(V.align_candidates(S.candidates(spark, d)))
     return out.where(F.col("reason").startswith("Majority")).select("doc_id", "line_no", "decision", "reason", "confidence")
 
 
@@ -445,7 +452,7 @@ PAIRS = f"""lf as (select doc_id as pair_id, unnest(l) as line, generate_subscri
 
 
 @query("diff_lines", with_(more=PAIRS + """, ol as (select pair_id, 'left' as side, line_no, line from lf anti join rg using (pair_id, line)), orr as (select pair_id, 'right' as side, line_no, line from rg anti join lf using (pair_id, line)),
-    u as (select *, row_number() over (partition by pair_id, side order by line_no) as rn from (select * from ol union all select * from orr))""") + "select pair_id, side, line_no, line from u where rn <= 60")
+    u as (select *, row_number() over (partition by pair_id, side order by line_no) as rn from (select * from ol union all select * from orr))""") + "select pair_id, side, line_no, line from u")
 def diff_lines(spark, d):
     def side(text):
         rows = T.split_lines(D(spark, d).withColumn("raw_text", text))
@@ -458,7 +465,7 @@ def diff_lines(spark, d):
 _EW = f"ew as (select doc_id, engine_id, status, list_distinct(list_transform({words('text')}, lambda w: lower(w))) as w from cand)"
 
 
-@query("engine_agreement", with_(more=f"cand as ({S.CANDIDATES_SQL}), {_EW}") + """select a.doc_id, a.engine_id, case when len(a.w) = 0 then 0 else coalesce(floor(avg(len(list_intersect(a.w, b.w)) / greatest(1, len(a.w)) * 100) + 0.5), 0) end as agreement
+@query("engine_agreement", with_(more=f"cand as ({S.CANDIDATES_SQL}), {_EW}") + """select a.doc_id, a.engine_id, case when len(a.w) = 0 or count(b.w) = 0 then 0 else cast((200 * sum(len(list_intersect(a.w, b.w))) + len(a.w) * count(b.w)) // (2 * len(a.w) * count(b.w)) as bigint) end as agreement
     from ew a left join ew b on a.doc_id = b.doc_id and a.engine_id <> b.engine_id and b.status = 'success' group by a.doc_id, a.engine_id, a.w""")
 def engine_agreement(spark, d):
     return V.engine_agreement(S.candidates(spark, d))
@@ -501,7 +508,7 @@ def assemble_rows(spark, d):
 
 @query("diff_words")
 def diff_words(spark, d):
-    out = V.diff_words(V.majority_line(V.align_candidates(S.candidates(spark, d)), full_score=False))
+    out = V.diff_words(V.majority_line(V.align_candidates(S.candidates(spark, d))))
     return out.select("doc_id", "line_no", "engine", "matched", F.array_join("differing", " ").alias("differing"))
 
 
@@ -576,7 +583,7 @@ def low_confidence_top_n(spark, d):
 
 
 @query("low_confidence_line_words", with_(more=line_rows() + f", en as (select *, 30 + (line_no * 13 + doc_id * 7) % 70 as c from ls), ww as (select doc_id, line_no, unnest(w) as word, generate_subscripts(w, 1) as p from (select doc_id, line_no, {words('line')} as w from en where c < 70))") +
-       "select doc_id, line_no, word, rank from (select *, row_number() over (partition by doc_id order by line_no, p) as rank from ww) where rank <= 80")
+       "select doc_id, line_no, word, rank from (select *, row_number() over (partition by doc_id order by line_no, p) as rank from ww)")
 def low_confidence_line_words(spark, d):
     return V.low_confidence_line_words(S.engine_lines(spark, d)).select("doc_id", "line_no", "word", "rank")
 
@@ -605,14 +612,14 @@ def review_queue(spark, d):
 @query("expire_results", with_("samples") + "select id, created_at from samples where created_at > (select max(created_at) from samples) - interval 600 minutes")
 def expire_results(spark, d):
     s = S.rendered(spark, d, "samples").select("id", "created_at")
-    latest = s.agg(F.max("created_at").alias("now")).first()["now"]
-    return X.expire_results(s, "created_at", 600, F.lit(latest))
+    return X.expire_results(s, "created_at", 600, s.agg(F.max("created_at")).scalar())
 
 
-@query("stream_quality", with_("samples") + "select time_bucket(interval '1 hour', created_at) as window_start, engine, count(*) as samples, floor(avg(nullif(quality_score, 0)) * 1000 + 0.5) as avg_quality from samples group by all")
+@query("stream_quality", with_("samples") + "select time_bucket(interval '1 hour', created_at) as window_start, engine, count(*) as samples, cast((20 * sum(cast(cast(nullif(quality_score, 0) as decimal(18,2)) * 100 as bigint)) + count(nullif(quality_score, 0))) // (2 * count(nullif(quality_score, 0))) as bigint) as avg_quality from samples group by all")
 def stream_quality(spark, d):
     out = quality_windows(S.rendered(spark, d, "samples"))
-    return out.withColumn("avg_quality", F.floor(F.col("avg_quality") * 1000 + F.lit(0.5)))
+    thousandths = F.expr("if(scored > 0, (20 * cents + scored) div (2 * scored), null)")
+    return out.select("window_start", "engine", "samples", thousandths.alias("avg_quality"))
 
 
 @query("choose_page_source")
@@ -628,7 +635,7 @@ def government_review(spark, d):
 
 @query("consensus")
 def consensus(spark, d):
-    return G.consensus(S.candidates(spark, d), full_score=False)
+    return G.consensus(S.candidates(spark, d))
 
 
 @query("ensemble")

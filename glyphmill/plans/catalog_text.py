@@ -260,7 +260,7 @@ def clean_text_safe(spark, d):
     return C.clean_text(D(spark, d)).select("doc_id", "cleaned_text", F.size("fixes").alias("n_fixes"))
 
 
-@query("clean_text_raw", DOCS + f"select doc_id, array_to_string({lines(WSN)}, chr(10)) as cleaned_text from docs")
+@query("clean_text_raw", DOCS + f"select doc_id, {WSN} as cleaned_text from docs")
 def clean_text_raw(spark, d):
     return C.clean_text(D(spark, d), level="raw").select("doc_id", "cleaned_text")
 

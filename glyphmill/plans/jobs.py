@@ -46,13 +46,13 @@ def government_review(docs: DataFrame, text_col: str = "raw_text") -> DataFrame:
     df = df.withColumn("_parts", E.memo_structure(F.col("clean_text")))
     df = df.withColumn("found", E.parts_found(F.col("_parts"))).withColumn("year_warning", K.budget_year_warning(F.col("clean_text")))
     missing = F.transform(F.filter("_parts", lambda p: (p["value"] == "") & ~p["found"]), lambda p: p["name"])
-    df = df.withColumn("uncertain", F.concat(missing, F.when(F.col("year_warning"), F.array(F.lit("ปีงบประมาณอาจอ่านผิด กรุณาตรวจสอบจากภาพต้นฉบับ"))).otherwise(
+    df = df.withColumn("uncertain", F.concat(missing, F.when(F.col("year_warning"), F.array(F.lit("budget_year_unlikely"))).otherwise(
         F.array().cast("array<string>"))))
-    by_hand, recheck = "ข้อมูลสำคัญ ห้ามแก้แบบเดาสุ่ม กรุณาตรวจจากภาพต้นฉบับ", "ควรตรวจจากภาพต้นฉบับ"
+    by_hand, recheck = "sensitive_value", "compare_with_page"
     phone, mac = E.SENSITIVE[1], E.SENSITIVE[2]
     items = F.concat(
-        F.transform(F.filter("_head", lambda t: t["k"] == "code"), lambda t: _review(t["x"], F.lit(None), "บรรทัดก่อนหัวข้ออาจเป็นเลขหนังสือ/วันที่/รหัสเอกสาร")),
-        F.transform(F.filter("_head", lambda t: t["k"] == "unclear"), lambda t: _review(t["x"], F.lit(None), "บรรทัดก่อนหัวข้อมีความหมายไม่ชัด ควรตรวจเอง")),
+        F.transform(F.filter("_head", lambda t: t["k"] == "code"), lambda t: _review(t["x"], F.lit(None), "code_before_heading")),
+        F.transform(F.filter("_head", lambda t: t["k"] == "unclear"), lambda t: _review(t["x"], F.lit(None), "unclear_before_heading")),
         F.transform("_spans", lambda s: _review(s, E.span_type(s, E.SENSITIVE), by_hand)),
         F.transform(P.find_all(F.col("clean_text"), phone[1], "i"), lambda s: _review(P.squeeze(s), phone[0], recheck)),
         F.transform(P.find_all(F.col("clean_text"), mac[1], "i"), lambda s: _review(P.squeeze(s), mac[0], recheck)),

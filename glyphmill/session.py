@@ -1,10 +1,8 @@
-"""Session defaults for local runs and the shared checkpoint folder."""
+"""Session defaults for local runs."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "glyphmill", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -22,22 +20,3 @@ def build_session(app: str = "glyphmill", cores: str = "*", partitions: int = 8)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="ckpt-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def is_below(df: DataFrame, limit_bytes: int) -> bool:
-    """True when the optimizer's size estimate of ``df`` is at most ``limit_bytes``."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes())) <= limit_bytes

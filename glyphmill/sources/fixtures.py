@@ -32,7 +32,7 @@ SQL = {
         'Issue: link down on Gi0/', cast(event_id % 24 as string), {NL}, 'Severity: ', case when event_id % 3 = 0 then 'high' else 'low' end, {NL},
         'switch 10.', cast(user_id % 256 as string), '.', cast(event_id % 300 as string), '.7 VLAN ', cast(event_id % 90 as string), {NL},
         'Requester: user', cast(user_id as string), {NL}, 'Reported ', {{dmy:ts}}, ' 10:35') as raw_text
-        from events where event_type = 'error'""",
+        from events""",
     "emails": f"""select conv_id * 100 + turn as doc_id, concat('From: user', cast(conv_id as string), '@mail.example.com', {NL}, 'To: desk@example.org', {NL},
         'Subject: Case ', cast(conv_id as string), '-', cast(turn as string), {NL}, 'Please see https://example.org/t/', cast(conv_id as string), {NL}, text) as raw_text
         from conversations""",
@@ -52,7 +52,7 @@ SQL = {
         case when event_id % 2 = 0 then concat({NL}, 'b~ m:i QJ C9l') else '' end) as raw_text from events""",
     "thai_notes": f"""select o_orderkey as doc_id, concat('เรื อง เป้ าหมาย งา น ที่ ', translate(cast(o_orderkey as string), '0123456789', '๐๑๒๓๔๕๖๗๘๙'), {NL},
         'จานวนเงิน ', cast(cast(o_totalprice as decimal(18,2)) as string), ' บาท  ขอมูล', {NL}, 'เ ครื่อ ง ่ก ใ็ด แ็ข กํา', {NL}, 'Ticket N0 ๑๒-๓', {NL},
-        'noc@workd , go . th') as raw_text from orders""",
+        'noc@example , go . th') as raw_text from orders""",
     "steps": f"""select event_id as doc_id, concat('Report ', cast(event_id as string), {NL}, '1. Check link', {NL}, 'ping 10.0.0.', cast(user_id as string), {NL},
         'Step 2 renew', {NL}, 'ipconfig /renew and set "Obtain address automatically"', {NL}, '3) Close case:', {NL}, 'done') as raw_text from events""",
     "budget": """select o_orderkey as doc_id, concat('วันที่ 1 มกราคม ', cast(2560 + o_orderkey % 10 as string), chr(10), 'ปีงบประมาณ ',

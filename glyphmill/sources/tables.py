@@ -74,10 +74,10 @@ def ingest_engine_json(df: DataFrame, payload: str = "payload", keys=("doc_id",)
     first = lambda *names: F.coalesce(*[F.when(F.size(f"_p.{n}") > 0, F.col(f"_p.{n}")) for n in names])
     legacy = F.from_json(F.col(payload), "array<array<string>>")
     df = df.withColumn("_p", F.from_json(F.col(payload), MODERN)).withColumn("_old", F.when(F.col(payload).startswith("["), legacy))
-    old_rec = F.transform("_old", lambda x: F.from_json(F.element_at(x, 2), "array<string>"))
-    texts = F.coalesce(first("rec_texts", "texts"), F.transform(old_rec, lambda r: F.element_at(r, 1)))
-    scores = F.coalesce(first("rec_scores", "scores"), F.transform(old_rec, lambda r: F.element_at(r, 2).cast("double")))
-    boxes = F.coalesce(first("rec_polys", "dt_polys", "boxes"), F.transform("_old", lambda x: F.from_json(F.element_at(x, 1), POINTS)),
+    old_rec = F.transform("_old", lambda x: F.from_json(F.try_element_at(x, F.lit(2)), "array<string>"))
+    texts = F.coalesce(first("rec_texts", "texts"), F.transform(old_rec, lambda r: F.try_element_at(r, F.lit(1))))
+    scores = F.coalesce(first("rec_scores", "scores"), F.transform(old_rec, lambda r: F.try_element_at(r, F.lit(2)).try_cast("double")))
+    boxes = F.coalesce(first("rec_polys", "dt_polys", "boxes"), F.transform("_old", lambda x: F.from_json(F.try_element_at(x, F.lit(1)), POINTS)),
                        F.array().cast(f"array<{POINTS}>"))
     df = df.select(
         *keys, F.coalesce("_p.page_number", F.lit(1)).alias("page_no"), fold_language(F.col("_p.lang")).alias("language"),
@@ -123,11 +123,13 @@ def page_numbers(spec: Column, total: Column) -> Column:
     chunks = F.filter(F.split(spec, r"[,;\s]+"), lambda c: c != "")
 
     def expand(c):
-        a = F.greatest(F.lit(1), F.substring_index(c, "-", 1).cast("int"))
-        b = F.least(total, F.substring_index(c, "-", -1).cast("int"))
-        span = F.sequence(F.least(a, b), F.greatest(a, b))
-        return F.when(c.contains("-"), span).when(c.cast("int").between(1, total), F.array(c.cast("int"))).otherwise(
-            F.array().cast("array<int>"))
+        a = F.greatest(F.lit(1), F.substring_index(c, "-", 1).try_cast("int"))
+        b = F.least(total, F.substring_index(c, "-", -1).try_cast("int"))
+        ok = F.substring_index(c, "-", 1).try_cast("int").isNotNull() & F.substring_index(c, "-", -1).try_cast("int").isNotNull()
+        # A range beyond the last page is cut off there, so a long spec makes no long array.
+        span = F.when(ok, F.sequence(F.least(a, b, total), F.least(F.greatest(a, b), total)))
+        one = c.try_cast("int")
+        return F.coalesce(F.when(c.contains("-"), span).when(one.between(1, total), F.array(one)), F.array().cast("array<int>"))
 
     everything = F.sequence(F.lit(1), total)
     return F.when(F.lower(F.trim(spec)).isin("", "all", "*", "ทุกหน้า"), everything).otherwise(
