@@ -340,7 +340,7 @@ def completeness(spark, d):
     return D(spark, d).select("doc_id", Q.completeness(F.col("raw_text")).alias("score"))
 
 
-@query("document_logic", "select event_id as doc_id, 100 as score from events where event_type = 'error'")
+@query("document_logic", "select event_id as doc_id, 100 as score from events")
 def document_logic(spark, d):
     df = FD.with_fields(S.rendered(spark, d, "tickets"), "raw_text")
     return df.select("doc_id", E.document_logic(F.col("raw_text"), FD.field_columns(), F.lit(50.0)).alias("score"))
