@@ -57,13 +57,14 @@ def schedule(goals: DataFrame, block: int = 256) -> DataFrame:
     stretches = total.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {STRETCH}"))).alias("g")).repartition("g")
     drawn = stretches.select("g", F.explode(F.sequence(F.col("g") * STRETCH, F.least((F.col("g") + 1) * STRETCH, F.col("n")) - 1)).alias("slot"))
     drawn = drawn.withColumn("point", ((F.col("slot") % PERIOD) * STEP % PERIOD) / float(PERIOD)).withColumn("cell", F.floor(F.col("point") * GRID))
-    owned = drawn.join(grid, "cell").where("point >= lo and point < hi").select("g", "slot", "source", "slots")
+    # Rows drawn from a one-row table look small to the optimizer; the hints keep it from broadcasting them.
+    owned = drawn.hint("merge").join(grid, "cell").where("point >= lo and point < hi").select("g", "slot", "source", "slots")
     counts = owned.groupBy("source", "g").agg(F.count(F.lit(1)).alias("n"))
     offset = F.sum("n").over(Window.partitionBy("source").orderBy("g")) - F.col("n")
     counts = counts.withColumn("offset", offset)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     places = counts.select(F.col("source").alias("s"), F.col("g").alias("sg"), "offset")
-    ranked = owned.join(places, same("source", "s") & (F.col("g") == F.col("sg"))).withColumn(
+    ranked = owned.hint("merge").join(places, same("source", "s") & (F.col("g") == F.col("sg"))).withColumn(
         "rank", F.col("offset") + F.row_number().over(Window.partitionBy("source", "g").orderBy("slot")) - 1).where("rank < slots").select("slot", "source", "rank")
     drawn_of = counts.groupBy("source").agg(F.sum("n").alias("drawn")).withColumnRenamed("source", "s")
     short = shares.join(drawn_of, same("source", "s"), "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).where("drawn < slots")
@@ -88,7 +89,7 @@ def mixture(placed: DataFrame, goals: DataFrame, slots: DataFrame, block: int =
     rows = rows.withColumn("a", F.col("start") + F.col("turn") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("take"))).where("a < b")
     rows = rows.withColumn("rank", F.explode(F.sequence(F.expr(f"a div {block}"), F.expr(f"(b - 1) div {block}"))))
     taken = slots.select("slot", F.col("source").alias("t"), F.col("rank").alias("r"))
-    rows = rows.join(taken, F.col("source").eqNullSafe(F.col("t")) & (F.col("rank") == F.col("r")))
+    rows = rows.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("t")) & (F.col("rank") == F.col("r")))
     lo, hi = F.greatest(F.col("a"), F.col("rank") * block), F.least(F.col("b"), (F.col("rank") + 1) * block)
     return rows.select("slot", "doc_id", "source", "size", "start", (lo - F.col("a")).alias("first_word"), (hi - lo).alias("words"))
 
@@ -108,5 +109,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = taken.select(F.col("source").alias("s"), F.col("start").alias("at"), F.col("size").alias("of"), "taken")
     goals = goals.select(F.col("source").alias("g"), "source_size", "target")
     rows = placed.join(goals, F.col("source").eqNullSafe(F.col("g")))
-    rows = rows.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") == F.col("of")), "left")
+    rows = rows.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") == F.col("of")), "left")
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
