@@ -2,18 +2,19 @@
 
 Explicit rules judge a url by host and path, the longest that fits. Urls that lead to one another (a redirect by ``meta refresh``, a
 canonical link, or the same url but for scheme, ``www.``, tracking parameters, fragment and a closing slash) form a component; a block
-decision reaches every alias without a rule of its own, unless the component also holds an explicit allow, which goes first. What no
-rule reaches is allowed.
+decision reaches every alias without a rule of its own, unless the component also holds an explicit allow, which goes first. Both ends of
+every link are judged, whether they are pages or not. What no rule reaches is allowed.
 
-Scale: rules are a list of literals, so judging needs no join. Decisions are aggregated per component before they are joined back. The
-components work on one edge for each distinct link, over 64-bit names of normal urls.
+Scale: rules are a list of literals, so judging needs no join. Decisions of link ends are aggregated per url, then with those of the pages
+per component, before they are joined back. Links are staged with the decisions of their ends, so pages are parsed once. The components
+work on one edge for each distinct link, over 64-bit names of normal urls.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import components
+from .shared import components, stage
 
 # Fixed rules of the registered query: action, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -55,18 +56,39 @@ def normal(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(wanted != "", F.concat(F.lit("?"), wanted)).otherwise("")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/")
+    # A dot segment at the end leaves its slash.
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
 def link_targets(html: Column, url: Column) -> Column:
-    """Absolute urls of canonical links and meta refreshes of a page; ``//host`` and ``/path`` are completed from its own url."""
+    """Absolute urls of canonical links and meta refreshes of a page.
+
+    What has no scheme is completed from the page's own url: ``//host`` and ``/path``, ``?query``, and relative paths from the page's
+    folder on, with ``.`` and ``..``. Targets of other schemes without ``//`` (``mailto:``) name no host and are left out; ``<base>`` isn't read.
+    """
     tags = F.regexp_extract_all(html, F.lit(r"""(?i)<(?:link\b[^>]*\brel\s*=\s*["']?canonical\b|meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>|<link\b[^>]*\bhref\s*=[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
     raw = F.transform(tags, lambda t: F.regexp_extract(t, r"""(?i)(?:\bhref\s*=|;\s*url\s*=)\s*["']?([^"'\s>]+)""", 1))
     scheme = F.coalesce(F.nullif(F.regexp_extract(url, r"^([^:/?#]*)://", 1), F.lit("")), F.lit("http"))
-    absolute = F.transform(raw, lambda r: F.when(r.contains("://"), r).when(r.startswith("//"), F.concat(scheme, F.lit(":"), r)).when(r.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), r)))
-    return F.when(html.rlike("(?i)canonical|refresh"), F.filter(absolute, lambda u: u.isNotNull() & (u != "")))
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"^.*/", 0), F.lit("")), F.lit("/"))
+
+    def absolute(r):
+        path, rest = F.regexp_extract(r, r"^[^?#]*", 0), F.regexp_extract(r, r"^[^?#]*(.*)$", 1)
+        whole = F.when(path == "", F.concat(site, path_of(url), rest)).when(r.startswith("/"), F.concat(site, _without_dots(path), rest)).otherwise(F.concat(site, _without_dots(F.concat(folder, path)), rest))
+        return F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), r).when(r.startswith("//"), F.concat(scheme, F.lit(":"), r)).when((r != "") & (host_of(url) != "") & ~r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), whole)
+
+    return F.when(html.rlike("(?i)canonical|refresh"), F.filter(F.transform(raw, absolute), lambda u: u.isNotNull()))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row; ``redirects(src_url, dst_url)`` adds redirects known from elsewhere.
 
+    Ends of redirects and links that are no pages are judged too, and their decisions reach the pages they are aliases of.
     A null url, or one without ``://``, has an empty host and path and is no alias of anything; a null html has no links. Repeated rows and
     null ids are judged like others. Extra columns are not carried.
     """
@@ -78,10 +100,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     linked = pages.select(F.col(url_col).alias("from"), F.col(html_col).alias("page")).select(F.col("from").alias("url"), F.explode(link_targets(F.col("page"), F.col("from"))).alias("to"))
     if redirects is not None:
         linked = linked.unionByName(redirects.select(F.col("src_url").alias("url"), F.col("dst_url").alias("to")))
-    edges = linked.select(normal(url).alias("src"), normal(F.col("to")).alias("dst")).where("src is not null and dst is not null and src <> dst").select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
-    joined = components(edges)
+    links = linked.select(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("url", "to") for n, f in (("name", normal), ("own", lambda u: rule_of(host_of(u), path_of(u), rules)["action"]))])
+    links = stage(links.select(F.xxhash64("url_name").alias("src"), F.xxhash64("to_name").alias("dst"), "url_own", "to_own").where("url_name is not null and to_name is not null").distinct(), "links")
+    joined = components(links)
     rows = rows.join(joined, F.col("node") == F.col("id"), "left").withColumn("component", F.coalesce("component_id", "node")).drop("id", "component_id", "node")
-    decided = rows.where("own is not null and component is not null").groupBy("component").agg(F.bool_or(F.col("own.action") == "allow").alias("allowed")).withColumnRenamed("component", "c")
+    ends = links.select(F.col("src").alias("end"), F.col("url_own").alias("action")).unionByName(links.select(F.col("dst").alias("end"), F.col("to_own").alias("action")))
+    ends = ends.where("action is not null").groupBy("end").agg(F.bool_or(F.col("action") == "allow").alias("allowed")).join(joined, F.col("end") == F.col("id"), "left")
+    decisions = rows.where("own is not null and component is not null").select("component", (F.col("own.action") == "allow").alias("allowed"))
+    decisions = decisions.unionByName(ends.select(F.coalesce("component_id", "end").alias("component"), "allowed"))
+    decided = decisions.groupBy("component").agg(F.bool_or("allowed").alias("allowed")).withColumnRenamed("component", "c")
     rows = rows.join(decided, F.col("component") == F.col("c"), "left")
     reached = F.when(~F.col("allowed"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.action", reached).alias("verdict"))

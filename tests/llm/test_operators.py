@@ -193,6 +193,23 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_judges_targets_that_are_no_pages(spark):
+    page = '<link rel=canonical href="{}">'.format
+    rows = [(1, "http://a.io/1", page("https://bad.net/q")), (2, "http://b.io/1", '<meta http-equiv="refresh" content="0; url=http://x.net/">'), (3, "http://c.io/1", ""), (4, "http://d.net/1", page("http://ok.org/fr/2")),
+            (5, "http://e.io/1", page("http://ok.org/fr/2")), (6, "http://f.io/1", page("http://f.net/")), (7, "http://f.io/2", page("http://f.net/")), (8, "http://f.io/2", page("http://ok.org/fr/9")),
+            (9, "http://example.com/x/y/z?q", page("../../de/1")), (10, "http://example.com/x/1", page("2")), (11, "http://example.com/x/2", page("../de/./3")), (12, "http://example.com", page("de/4")),
+            (13, "http://g.io/a/b", page("?k=http://bad.net/")), (14, "http://g.io/a/c", page("/to?u=http://bad.net/")), (15, "http://g.io/", page("mailto:me@bad.net")), (16, "nope", page("x.html")), (17, "http://example.com/a/", page("../de"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    redirects = spark.createDataFrame([("http://c.io/1", "http://c.io/2"), ("http://c.io/2", "http://gone.net/"), ("http://j.net/", "http://f.io/1")], "src_url string, dst_url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, redirects=redirects).collect()}
+    assert {i for i, (_, v) in got.items() if v == "block"} == {1, 2, 3, 4, 9, 10, 11, 12} and got[4][0] == "net/" and got[1][0] is None
+    alone = {r["page_id"]: r["verdict"] for r in url_filter.judge(df.where("page_id in (3, 7)"), redirects=redirects).collect()}
+    assert alone == {3: "block", 7: "block"}
+    crawled = spark.createDataFrame([("http://g.io/", "http://bad.net/q")], "src_url string, dst_url string")
+    pages = df.where("page_id = 15").unionByName(spark.createDataFrame([(18, "http://bad.net/q", None)], df.schema))
+    assert {r["verdict"] for r in url_filter.judge(pages, redirects=crawled).collect()} == {"block"} and url_filter.judge(df.limit(0)).count() == 0
+
+
 def test_near_duplicates(spark):
     rows = odd_documents()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
