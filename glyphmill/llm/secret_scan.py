@@ -1,9 +1,10 @@
 """Secret scanning with built-in functions only.
 
-Three fixed kinds are found by pattern. The ``entropy`` kind takes candidate runs of token characters and slides a window over them:
-one step adds a character's count and takes another's away, and the sum of c * log2(c) is adjusted by table, so no window is counted
-anew. A candidate is reported if the Shannon entropy of a window reaches the threshold of the candidate's character class, unless
-the allow list suppresses it or a span of a fixed kind already covers part of it.
+Three fixed kinds are found by pattern. The ``entropy`` kind takes candidate runs of 16 token characters or more and slides a window of 24
+over them (16 over runs under 24, and over parts of 16 to 23 between separators): one step adds a character's count and takes another's away, and the sum of c * log2(c) is adjusted by
+table, so no window is counted anew. A candidate is reported if the Shannon entropy of a window reaches the threshold of that window's own
+character class, unless the allow list suppresses it or a span of a fixed kind already covers part of it. Thresholds lie where about one of
+1,000 random windows of the class falls short. Lower-case letters alone can't be told from a word by entropy: such windows have none.
 
 Scale: each row is judged by itself, without a shuffle. Patterns run only behind a test whether they match at all.
 """
@@ -21,13 +22,18 @@ KINDS = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 # A test that every match of the kind passes, cheaper than the pattern.
-TESTS = {"access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "entropy": r"[A-Za-z0-9+/_=-]{24}"}
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
-WINDOW = 24
-# Class, pattern of the whole candidate, least entropy in bits of a window of 24.
-CLASSES = (("digits", r"^[0-9]+$", 99.0), ("hexadecimal", r"^[0-9A-Fa-f]+$", 3.2), ("mixed", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).*$", 4.0), ("lower", r"^(?=.*[0-9])(?=.*[a-z]).*$", 3.9))
-# Never secrets: UUIDs, placeholders, words or numbers joined by dashes, underscores or slashes.
-ALLOW = (r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"(?i)example|placeholder|xxxx|your[_-]", r"^[A-Za-z]*([-_/=+][A-Za-z]*)*$", r"^[A-Za-z]+([-_/][A-Za-z]+|[-_/][0-9]+)+$")
+TESTS = {"access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "entropy": r"[A-Za-z0-9+/_=-]{16}"}
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+WINDOW, SHORT = 24, 16
+# Class, pattern of a whole window, least entropy in bits of a window of 24; separators count in each class. The first that fits counts.
+CLASSES = (("words", r"^[a-z+/_=-]*$", 99.0), ("digits", r"^[0-9+/_=-]*$", 2.46), ("hexadecimal", r"^[0-9A-Fa-f+/_=-]*$", 2.86), ("upper", r"^[A-Z+/_=-]*$", 3.2), ("upper and digits", r"^[0-9A-Z+/_=-]*$", 3.36),
+           ("lower and digits", r"^[0-9a-z+/_=-]*$", 3.44), ("letters", r"^[A-Za-z+/_=-]*$", 3.64), ("mixed", r"^", 3.7))
+# The same for a window of 16.
+SHORT_BITS = {"words": 99.0, "digits": 2.1, "hexadecimal": 2.46, "upper": 2.76, "upper and digits": 2.86, "lower and digits": 2.9, "letters": 3.12, "mixed": 3.19}
+# A word is lower or upper case, or joined of capitalized parts of four letters or more; a number has under 16 digits. Quantifiers are possessive.
+_PART = r"(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9]{1,15}+|[A-Z]{1,15}+|[A-Z]?[a-z]++(?:[A-Z][a-z]{3,}+)*+|[xX]{4,}+)(?=[-_/+=]|$)"
+# Never secrets: UUIDs, words and numbers, alone or joined by separators, and keys whose end says that they are examples.
+ALLOW = (r"^[-_/+=]*+(?:" + _PART + r"[-_/+=]*+)*+$", r"EXAMPLE(?:KEY)?$")
 
 SPAN = "array<struct<start:int,place:int,stop:int,kind:string>>"
 
@@ -53,13 +59,22 @@ def fixed_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(TESTS.get(kind, pattern)), _walk(text, pattern, keep, place, kind)).otherwise(F.array().cast(SPAN))
 
 
-def highest_entropy(run: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy in bits of a window of characters of an ASCII string; 0 if it is shorter."""
+def _least(letters: dict, bits: dict) -> Column:
+    """The threshold of a window's class from its numbers of digits, upper, lower and hexadecimal characters."""
+    digits, upper, lower, hexadecimal = (letters[k] for k in ("digits", "upper", "lower", "hexadecimal"))
+    of = lambda name: F.lit(bits[name])
+    return (F.when((digits == 0) & (upper == 0), of("words")).when((upper == 0) & (lower == 0), of("digits")).when(hexadecimal == digits + upper + lower, of("hexadecimal"))
+            .when((digits == 0) & (lower == 0), of("upper")).when(lower == 0, of("upper and digits")).when(upper == 0, of("lower and digits")).when(digits == 0, of("letters")).otherwise(of("mixed")))
+
+
+def reaches(run: Column, window: int, bits: dict) -> Column:
+    """Whether a window of characters of an ASCII string has the entropy in bits that its class needs."""
     terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
     # Pairs of the character that enters and the one that leaves (-1: none yet).
     moves = F.arrays_zip(codes.alias("i"), F.concat(F.array_repeat(F.lit(-1), window), codes).alias("o"))
-    begin = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    kinds = {"digits": lambda c: c.between(48, 57), "upper": lambda c: c.between(65, 90), "lower": lambda c: c.between(97, 122), "hexadecimal": lambda c: c.between(48, 57) | c.between(65, 70) | c.between(97, 102)}
+    begin = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), *[F.lit(0).alias(k) for k in kinds], F.lit(False).alias("found"))
 
     def step(s, move):
         enter, leave = move["i"], move["o"]
@@ -69,25 +84,27 @@ def highest_entropy(run: Column, window: int = WINDOW) -> Column:
         came = count(enter)
         total = F.when(same, s["sum"]).otherwise(s["sum"] + term(came + 1) - term(came) + F.when(leave >= 0, term(out - 1) - term(out)).otherwise(F.lit(0.0)))
         counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda c, k: c + F.when(k == enter, 1).when(k == leave, -1).otherwise(0)))
-        value = math.log2(window) - total / window
-        return F.struct((s["n"] + 1).alias("n"), counts.alias("counts"), total.alias("sum"), F.when(s["n"] + 1 >= window, F.greatest(s["best"], value)).otherwise(s["best"]).alias("best"))
+        letters = {k: s[k] + f(enter).cast("int") - f(leave).cast("int") for k, f in kinds.items()}
+        value = F.round(math.log2(window) - total / window, 9)
+        found = s["found"] | ((s["n"] + 1 >= window) & (value >= _least(letters, bits)))
+        return F.struct((s["n"] + 1).alias("n"), counts.alias("counts"), total.alias("sum"), *[c.alias(k) for k, c in letters.items()], found.alias("found"))
 
     # Moves behind the last character only take characters away.
-    return F.aggregate(F.filter(moves, lambda m: m["i"].isNotNull()), begin, step, lambda s: F.round(s["best"], 9))
+    return F.aggregate(F.filter(moves, lambda m: m["i"].isNotNull()), begin, lambda s, m: F.when(s["found"], s).otherwise(step(s, m)), lambda s: s["found"])
 
 
 def entropy_spans(text: Column, allow=()) -> Column:
     """Spans of candidates with a window of high entropy that aren't on the allow list (patterns, and the strings in ``allow``)."""
     def keep(run):
-        least = F.lit(99.0)
-        for _, pattern, bits in reversed(CLASSES):
-            least = F.when(run.rlike(pattern), F.lit(bits)).otherwise(least)
         listed = F.lit(False)
         for pattern in ALLOW:
             listed = listed | run.rlike(pattern)
         if allow:
             listed = listed | run.isin(list(allow))
-        return F.when(listed | (least >= 99.0), F.lit(False)).otherwise(highest_entropy(run) >= least)
+        long = reaches(run, WINDOW, {name: bits for name, _, bits in CLASSES})
+        parts = F.filter(F.split(run, "[-_/+=]+"), lambda p: F.length(p).between(SHORT, WINDOW - 1))
+        within = F.exists(parts, lambda p: reaches(p, SHORT, SHORT_BITS))
+        return F.when(listed, F.lit(False)).when(F.length(run) >= WINDOW, long | within).otherwise(reaches(run, SHORT, SHORT_BITS))
 
     return F.when(text.rlike(TESTS["entropy"]), _walk(text, CANDIDATE, keep, len(KINDS), "entropy")).otherwise(F.array().cast(SPAN))
 

@@ -130,6 +130,22 @@ def test_secret_scan(spark):
     assert masked[8] == "ééé [SECRET]" and masked[10] == "see [SECRET] here" and masked[12] == texts[12] and masked[5] == '[SECRET]"'
 
 
+def test_secrets_of_every_class(spark):
+    rng = random.Random(6)
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [digits, digits + "ABCDEF", upper, upper + "234567", upper + digits, lower + digits, upper + lower, upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_"]
+    secrets = [(k, n, "".join(rng.choice(a) for _ in range(n))) for k, a in enumerate(alphabets) for n in (16, 18, 20, 24, 32, 48, 64) for _ in range(40)]
+    rows = [(i, f"see {s} here") for i, (_, _, s) in enumerate(secrets)]
+    found = {r["doc_id"] for r in secret_scan.scan(frame(spark, rows)).select("doc_id", F.concat("hex", "access", "entropy").alias("e")).where("size(e) > 0").collect()}
+    missed = collections.Counter(s[:2] for i, s in enumerate(secrets) if i not in found)
+    assert max(missed.values(), default=0) <= 2 and sum(missed.values()) <= 20, missed
+    plain = ["INTERNATIONAL_STANDARD_NUMBER", "a/path/of/some/words/2024/05/17", "aVeryLongCamelCaseNameWithSomeWords", "donaudampfschifffahrtsgesellschaft", "====================", "your_api_key_placeholder", "x" * 40, "AbAbAbAbAbAbAbAbAbAbAbAbAb",
+             "id=123e4567-e89b-12d3-a456-426614174000", "01-01-2024_02-02-2024_000000000001", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "a-" * 20000, "Nichtenlichberach"]
+    hidden = ["ABCD1-2FGH3-4JKL5-6NOP7", "example/JBSWY3DPEHPK3PXPGQ2T", "your_key=Zq8Lw2Nx7Rv4Tb6Y", "a-plain-list-of-many-words=zzzzzzzzzzzzzzzzzzzzzzzzzz/K7QX2ZP9WM4VT8RB"]
+    got = {r["doc_id"]: len(r["entropy"]) for r in secret_scan.scan(frame(spark, list(enumerate(plain + hidden)))).collect()}
+    assert got == {i: int(i >= len(plain)) for i in range(len(plain + hidden))}
+
+
 def vectors():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(150, 64))
