@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphmill.llm import minhash, mixing, secret_scan, sentencepiece_chunks, toxicity
-from glyphmill.llm.shared import stage, table
+from glyphmill.llm.shared import keyed, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,10 +15,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; of rows that share an id, those of the id that stays."""
-    judged = minhash.near_duplicates(docs, threshold=0.8)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group, that of the smallest id (a null id comes last); rows are judged by their own texts, whatever ids they share."""
+    rows = keyed(docs, "rows")
+    judged = minhash.near_duplicates(rows, id_col="__row", threshold=0.8).select(F.col("doc_id").alias("__judged"), "component_id")
+    order = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__hash", "__row").alias("order"))
+    first = judged.join(order, F.col("__judged") == F.col("__row")).groupBy("component_id").agg(F.min("order").alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +33,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, whole: the words taken over its size, rounded; documents without words once."""
-    mixed = mixing.mix(docs)
+    """Each row as often as the mix takes it, whole: the words taken over its size, rounded; rows without words once."""
+    rows = keyed(docs, "rows")
+    # Rows without an id are shuffled by their content.
+    named = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "__hash")))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
-    # Rows that share an id have shares of the mix of their own; each gets their mean.
-    counts = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.ceil(F.avg(times)).cast("int").alias("__times")).withColumnRenamed("doc_id", "__mixed_id")
-    rows = docs.join(counts, F.col("doc_id") == F.col("__mixed_id"), "left")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__times", F.lit(1)) + 1))).where(F.col("__copy") <= F.coalesce("__times", F.lit(1))).select(*docs.columns)
+    mixed = mixing.mix(named, id_col="__id", keys=("__hash", "__row")).select(F.col("__row").alias("__mixed"), times.alias("__times"))
+    taken = rows.join(mixed.where("__times > 0"), F.col("__row") == F.col("__mixed"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,11 +19,11 @@ from .shared import WORD, stage
 STRETCH, GRID, PERIOD, STEP = 4096, 4096, 2**31, 1327217885  # STEP / PERIOD is the golden ratio's fraction
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, size, digest)``: words of the whole text (null: 0), and what orders documents."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys=()) -> DataFrame:
+    """``(doc_id, source, size, digest)`` and ``keys``: words of the whole text (null: 0), and what orders documents."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), digest.alias("digest"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), digest.alias("digest"), *keys)
 
 
 def targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -72,13 +72,13 @@ def schedule(goals: DataFrame, block: int = 256) -> DataFrame:
     return ranked.unionByName(late.select(F.lit(None).cast("long").alias("slot"), "source", "rank"))
 
 
-def lines(sized: DataFrame) -> DataFrame:
-    """``sized`` with ``start``, the words of the source before the document."""
+def lines(sized: DataFrame, keys=()) -> DataFrame:
+    """``sized`` with ``start``, the words of the source before the document; ``keys`` order documents that are equal but for them."""
     rows = sized.withColumn("part", F.substring("digest", 1, 3))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
     sums = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("offset"))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    within = F.sum("size").over(Window.partitionBy("source", "part").orderBy("digest", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    within = F.sum("size").over(Window.partitionBy("source", "part").orderBy("digest", F.col("doc_id"), "size", *keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return rows.withColumn("start", F.col("offset") + within).drop("s", "p", "part", "offset")
 
 
@@ -95,19 +95,19 @@ def mixture(placed: DataFrame, goals: DataFrame, slots: DataFrame, block: int =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5, most: float = 2.0,
-        block: int = 256) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` for every row: the words the mix takes of it, repeats counted.
+        block: int = 256, keys=()) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken)`` and the columns ``keys`` for every row: the words the mix takes of it, repeats counted.
 
     A null text has size 0 and nothing is taken of it; a null source is a source of its own and comes last; rows with a null id take part.
-    Repeated rows are documents of their own. At most two passes over a source are made (``most`` up to 2). Extra columns are not carried.
+    Repeated rows are documents of their own. At most two passes over a source are made (``most`` up to 2). Other columns are not carried.
     """
-    sized = stage(sizes(docs, id_col, text_col, source_col), "sizes")
+    sized = stage(sizes(docs, id_col, text_col, source_col, keys), "sizes")
     goals = stage(targets(sized, weights, share, most), "targets")
-    placed = lines(sized)
+    placed = lines(sized, keys)
     taken = mixture(placed, goals, schedule(goals, block), block).groupBy("source", "start", "size").agg(F.sum("words").alias("taken"))
     # A start is one document's, as only those without words share it.
     taken = taken.select(F.col("source").alias("s"), F.col("start").alias("at"), F.col("size").alias("of"), "taken")
     goals = goals.select(F.col("source").alias("g"), "source_size", "target")
     rows = placed.join(goals, F.col("source").eqNullSafe(F.col("g")))
     rows = rows.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") == F.col("of")), "left")
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keys)

@@ -30,6 +30,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` staged with ``__row``, a number of its own for each row, and ``__hash`` of all its columns. Staged, as a second read may number rows anew."""
+    return stage(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.xxhash64(*docs.columns)}), name)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
     path, spark = getattr(df, "_staged_at", None), df.sparkSession

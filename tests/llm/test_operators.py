@@ -15,6 +15,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 
 import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
 from glyphmill.llm import bit_sliced, catalog, chunks, lattice, minhash, mixing, ngram_bloom, secret_scan, sentencepiece_chunks, shared, substring, toxicity, url_filter, words  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -236,6 +237,36 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_pipeline_judges_rows_not_ids(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c, d, e = (prose(60) for _ in range(5))
+    # Id 2 has a copy of id 1 and a text of its own, id 3 repeats its row, and rows without an id copy one another and id 1.
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d + " end"), (None, a), (None, e), (None, None), (4, ""), (4, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert kept.columns == frame(spark, rows).columns
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    last = [k for k in kept if k in ((None, d), (None, d + " end"))]
+    assert len(last) == 1 and kept == collections.Counter([(1, a), (2, b), (3, c), last[0], (None, e), (None, None), (4, ""), (4, "")])
+
+
+def test_pipeline_mix_meets_targets_with_any_ids(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice([None, 1, 2, i]), "w " * rng.randint(1, 40) + str(i), rng.choice("aab")) for i in range(400)] + [(None, None, "c"), (1, "same w", "b"), (1, "same w", "b"), (None, "same w", "b"), (None, "same w", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, taken, seen = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(brute.words(t))
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    for r in got:
+        taken[r["source"]] += len(brute.words(r["text"]))
+        seen[tuple(r)] += 1
+    goal = brute.targets(sizes)
+    assert all(abs(taken[s] - goal[s]) <= 42 for s in goal) and seen[None, None, "c"] == 1 and set(seen) <= set(rows)
+    again = corpus_pipeline.mix_sources(spark, df.repartition(7), "").collect()
+    assert collections.Counter(map(tuple, again)) == seen
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
     pool = words.mix(np.arange(3000, dtype=np.uint64))
