@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bit_sliced, lattice, minhash, mixing, ngram_bloom, secret_scan, sentencepiece_chunks, substring, toxicity, url_filter
+from . import bit_sliced, lattice, minhash, mixing, ngram_bloom, secret_scan, sentencepiece_chunks, spelling, substring, toxicity, url_filter
 from .shared import table
 
 QUERIES: dict = {}
@@ -111,3 +111,9 @@ p as (select d.*, coalesce(cast(sum(size) over (partition by source order by dig
 j as (select p.doc_id, p.size, t.source_size, t.target, p.start, cast(floor(t.target + 0.5) as bigint) as take from p join t on p.source is not distinct from t.source)
 select doc_id, size, source_size, target,
     greatest(0, least(size, take - start)) + greatest(0, least(size, take - source_size - start)) as taken from j"""
+
+
+@query
+def op11_trie_pairs(spark, sf_dir):
+    """Forms and roots of all words of at least 7 code points that occur twice or more, one code point of every 31st run deleted."""
+    return spelling.group_variants(spelling.counted(table(spark, sf_dir, "documents"), every=31))
