@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bit_sliced, lattice, minhash, mixing, ngram_bloom, secret_scan, sentencepiece_chunks, spelling, substring, toxicity, url_filter
+from . import bit_sliced, lattice, minhash, mixing, ngram_bloom, quality, rtree, secret_scan, sentencepiece_chunks, spelling, substring, toxicity, url_filter
 from .shared import table
 
 QUERIES: dict = {}
@@ -117,3 +117,31 @@ select doc_id, size, source_size, target,
 def op11_trie_pairs(spark, sf_dir):
     """Forms and roots of all words of at least 7 code points that occur twice or more, one code point of every 31st run deleted."""
     return spelling.group_variants(spelling.counted(table(spark, sf_dir, "documents"), every=31))
+
+
+@query
+def op12_random_index(spark, sf_dir):
+    """Probability of good quality of every document, learnt from the labels of those that aren't held out."""
+    held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+@query
+def op13_rtree(spark, sf_dir):
+    """Hard negatives of every vector whose id is divisible by 100; every seventh vector has another label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_rtree"] = """
+with v as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.id as anchor_id, c.id, a.label = c.label as same, cast(list_inner_product(cast(a.e as double[]), cast(c.e as double[])) as bigint) as score
+    from v a join v c on a.id <> c.id and len(a.e) = len(c.e) where a.id % 100 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select p.*, s.id as negative_id, s.score as negative_score, cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as integer) as rank
+    from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10"""
