@@ -179,7 +179,7 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, vectors: np.ndarr
     ids, y = t.column("doc_id").to_numpy(), t.column("y").to_numpy()
     # In an order of their own, whatever order they come in.
     order = np.lexsort((y, ids, mix(ids.astype(np.int64).view(np.uint64))))
-    x = np.array(t.column("x").to_pylist(), float).reshape(len(ids), -1)
+    x = np.array(t.column("x").to_pylist(), float).reshape(len(ids), 2 * vectors.shape[1])
     return Network(x[order], y[order])
 
 
