@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,9 +31,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _hashable(kind: DataType) -> bool:
+    """Whether Spark can hash values of this type: no maps and no variants anywhere in it."""
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` staged with ``__row``, a number of its own for each row, and ``__hash`` of all its columns. Staged, as a second read may number rows anew."""
-    return stage(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.xxhash64(*docs.columns)}), name)
+    """``(row, hash, doc)`` of each row, staged: a number of its own, a hash of the columns that can be hashed, and all columns as one struct.
+
+    Staged, as a second read may number rows anew. Columns are nested, so none can clash with those that a step adds; ``doc.*`` gives them back.
+    """
+    plain = [named(f.name) for f in docs.schema.fields if _hashable(f.dataType)]
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(*plain).alias("hash"), F.struct(*[named(c) for c in docs.columns]).alias("doc")), name)
 
 
 def drop_staged(df: DataFrame) -> None:

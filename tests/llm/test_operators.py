@@ -203,8 +203,8 @@ def test_url_filter(spark):
                    6: ("c.io", "/2", None, "allow"), 7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("d.io", "", None, "allow"), 10: ("ok.org", "/fr/1", "org/fr/", "allow"), 11: ("bad2.net", "/", "net/", "block"),
                    12: ("example.net", "/en/a", "example.net/en/", "allow"), 13: ("sub.example.com", "/de/", "example.com/de/", "block"), 14: ("badexample.com", "/de/", None, "allow"), None: ("bad.net", "", None, "allow"), 15: ("net", "/", "net/", "block"), 16: ("É.net", "/Ä", "net/", "block")}
     more = spark.createDataFrame([("http://c.io/2", "http://z.net/")], "src_url string, dst_url string")
-    # A target that is no page holds no decision.
-    assert url_filter.judge(df, redirects=more).where("page_id = 5").first()["verdict"] == "allow"
+    # A target that is no page is judged too.
+    assert url_filter.judge(df, redirects=more).where("page_id = 5").first()["verdict"] == "block"
     more = spark.createDataFrame([("http://c.io/2", "http://bad.net/q")], "src_url string, dst_url string")
     assert url_filter.judge(df, redirects=more).where("page_id = 5").first()["verdict"] == "block"
     assert url_filter.judge(df.limit(0)).count() == 0
