@@ -1,58 +1,14 @@
-"""Pipeline over ``documents``: toxicity, near-duplicates, secrets, source mix, tokens. A part of the ``llm`` subpackage."""
+"""Pipeline over ``documents``: toxicity, near-duplicates, secrets, source mix, tokens. A part of the ``llm`` subpackage, whose ``stages`` it runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import minhash, mixing, secret_scan, sentencepiece_chunks, toxicity
-from glyphmill.llm.shared import keyed, stage, table
+from glyphmill.llm.shared import stage, table
+from glyphmill.llm.stages import STAGES, drop_near_duplicates, drop_toxic, encode, mix_sources, redact_secrets
 
+__all__ = ["ORACLE_SQL", "STAGES", "drop_near_duplicates", "drop_toxic", "encode", "mix_sources", "redact_secrets", "run"]
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain, trained on ``labels``, doesn't judge toxic."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return toxicity.keep_clean(docs, labels)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, that of the smallest id (a null id comes last); rows are judged by their own texts, whatever ids they share."""
-    rows = keyed(docs, "rows")
-    judged = minhash.near_duplicates(rows, id_col="__row", threshold=0.8).select(F.col("doc_id").alias("__judged"), "component_id")
-    order = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__hash", "__row").alias("order"))
-    first = judged.join(order, F.col("__judged") == F.col("__row")).groupBy("component_id").agg(F.min("order").alias("first"))
-    return rows.join(first.select(F.col("first.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every span found replaced in the text; ``n_chars`` follows where the text changed."""
-    text = F.coalesce("text", F.lit(""))
-    spans = docs.withColumn("__found", F.concat(*[secret_scan.fixed_spans(text, k[0]) for k in secret_scan.KINDS], secret_scan.entropy_spans(text)))
-    clean = spans.withColumn("__clean", F.when(F.size("__found") > 0, secret_scan.redact(F.col("text"), F.col("__found"))))
-    new = {"text": F.coalesce("__clean", "text"), "n_chars": F.when(F.col("__clean").isNotNull(), F.length("__clean").cast("long")).otherwise(F.col("n_chars"))}
-    return clean.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, whole: the words taken over its size, rounded; rows without words once."""
-    rows = keyed(docs, "rows")
-    # Rows without an id are shuffled by their content.
-    named = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "__hash")))
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
-    mixed = mixing.mix(named, id_col="__id", keys=("__hash", "__row")).select(F.col("__row").alias("__mixed"), times.alias("__times"))
-    taken = rows.join(mixed.where("__times > 0"), F.col("__row") == F.col("__mixed"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every row, as numbers and digests."""
-    import public_tokenizers
-
-    out = sentencepiece_chunks.encode(docs, sentencepiece_chunks.read_model(public_tokenizers.path("piece_bpe_32k.model")))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("source_mix", mix_sources), ("sentencepiece", encode)]
 ORACLE_SQL = None
 
 
