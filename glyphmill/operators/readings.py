@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores as Q, text as P
+from ..functions.distance import align_arrays
 from ..functions.predicates import mojibake
 from .rules import accuracy_spell
 
@@ -204,19 +205,27 @@ def top_candidates(scored: DataFrame, n: int = 4, keys=("doc_id",), score: str =
     return scored.where(P.trim(F.col("text")) != "").withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def neighbour_vote(candidates: DataFrame, voters: int = 5, min_sim: float = 0.45, keys=("doc_id",), score: str = "score") -> DataFrame:
+def neighbour_vote(candidates: DataFrame, voters: int = 5, min_sim: float = 0.45, keys=("doc_id",), score: str = "score", align: bool = False) -> DataFrame:
     """Backbone lines replaced by a clearly better reading of the same line.
 
-    Lines of the best candidate are the backbone. A voter's line *j* is offered
-    to backbone lines j-1, j and j+1 by equi-key, so each group holds at most
-    1 + 3 x ``voters`` lines.
+    Lines of the best candidate are the backbone. A voter's line *j* is offered to backbone lines j-1, j and j+1 by equi-key, so each
+    group holds at most 1 + 3 x ``voters`` lines. With ``align`` a voter's lines are paired with the backbone first and each is offered
+    to its partner only, so that a voter which lost lines still votes on all the others.
     """
     keys = list(keys)
     ranked = top_candidates(candidates, voters + 1, keys, score)
-    rows = ranked.select(*keys, "rank", F.posexplode(F.split("text", "\n")).alias("j", "line"))
-    rows = rows.withColumn("line", accuracy_spell(F.col("line")))
-    offers = rows.select(*keys, "rank", "j", "line", F.explode(
-        F.when(F.col("rank") == 1, F.array("j")).otherwise(F.array(F.col("j") - 1, F.col("j"), F.col("j") + 1))).alias("i"))
+    if align:
+        texts = ranked.select(*keys, "rank", F.transform(F.split("text", "\n"), lambda c: accuracy_spell(c)).alias("_l"))
+        base_lines = texts.where("rank = 1").select(*keys, F.col("_l").alias("_b"))
+        paired = texts.where("rank > 1").join(base_lines, keys).select(*keys, "rank", "_l", align_arrays(F.col("_b"), F.col("_l"), min_sim).alias("_p"))
+        paired = paired.select(*keys, "rank", "_l", F.inline("_p")).where("left is not null and right is not null")
+        offers = base_lines.select(*keys, F.lit(1).alias("rank"), F.posexplode("_b").alias("j", "line")).withColumn("i", F.col("j")).unionByName(
+            paired.select(*keys, "rank", F.col("right").alias("j"), F.get("_l", F.col("right")).alias("line"), F.col("left").alias("i")))
+    else:
+        rows = ranked.select(*keys, "rank", F.posexplode(F.split("text", "\n")).alias("j", "line"))
+        rows = rows.withColumn("line", accuracy_spell(F.col("line")))
+        offers = rows.select(*keys, "rank", "j", "line", F.explode(
+            F.when(F.col("rank") == 1, F.array("j")).otherwise(F.array(F.col("j") - 1, F.col("j"), F.col("j") + 1))).alias("i"))
     grouped = offers.groupBy(*keys, "i").agg(
         F.max(F.when(F.col("rank") == 1, F.struct("line"))).alias("_base"),
         F.sort_array(F.collect_list(F.when((F.col("rank") > 1) & (F.col("line") != ""), F.struct("rank", "j", "line")))).alias("offers"),

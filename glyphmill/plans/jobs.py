@@ -192,9 +192,7 @@ def benchmark_runs(texts: DataFrame, keys=("item_id",), level: str = "safe") ->
     best = F.max_by(F.struct("cleaned_text", "score"), F.struct("score", "k")).alias("best")
     df = df.groupBy(*keys).agg(F.max("truth").alias("truth"), best, F.max(F.when(F.col("k") == 0, F.col("score"))).alias("raw_score"))
     df = df.withColumn("final_text", F.col("best.cleaned_text")).withColumn("final_score", F.col("best.score"))
-    ref, hyp = P.lines_of(F.col("truth")), P.lines_of(F.col("final_text"))
-    pairs = df.select(*keys, F.inline(F.arrays_zip(ref.alias("ref"), hyp.alias("hyp"))))
-    rates = M.error_rates(pairs, keys)
+    rates = M.error_rates(df, keys, "truth", "final_text")
     metrics = [Q.token_accuracy(F.col("truth"), F.col("final_text"), p, f).alias(f"{n}_accuracy") for n, (p, f) in Q.TOKEN_CLASSES.items()]
     df = df.select(*keys, "raw_score", "final_score", "final_text", Q.symbol_score(F.col("truth"), F.col("final_text")).alias("symbol_accuracy"), *metrics)
     return df.join(rates, keys, "left")
