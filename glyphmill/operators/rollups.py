@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions import scores as Q, text as P
-from ..functions.scores import occurrences
+from .lexicon import count_words
 
 
 def fix_groups(cleaned: DataFrame, n: int | None = None, fixes: str = "fixes") -> DataFrame:
@@ -22,12 +22,10 @@ def fix_summary(cleaned: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def vocabulary_counts(docs: DataFrame, words=None, text_col: str = "raw_text") -> DataFrame:
-    """Occurrences of each known word over the corpus: sums in the map phase, no join."""
-    words = list(words or fixed.correct_words())
-    low = F.lower(F.col(text_col))
-    sums = docs.agg(*[F.sum(occurrences(low, w.lower())).alias(f"w{i}") for i, w in enumerate(words)])
-    rows = F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"w{i}").alias("n")) for i, w in enumerate(words)])
-    return sums.select(F.inline(rows)).where(F.col("n") > 0)
+    """Occurrences of each known word over the corpus, of those in ``words`` (a list or a table with a column ``word``) or else all fixed ones."""
+    if not isinstance(words, DataFrame):
+        words = docs.sparkSession.createDataFrame([(w,) for w in words or fixed.correct_words()], "word string")
+    return count_words(docs, words, text_col)
 
 
 # Spelling and spacing checks with their suggestion.

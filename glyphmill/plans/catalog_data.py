@@ -565,12 +565,14 @@ def sample_summary(spark, d):
     return A.sample_summary(S.rendered(spark, d, "samples"))
 
 
-VOCAB = ["email", "Search", "Copy", "Output", "URL", "tion", "the"]
+# Every known word and every word of the part names.
+_WORDS = "vw as (select unnest([" + ", ".join(lit(w) for w in fixed.correct_words()) + "]) as word union select unnest(string_split(p_name, ' ')) from part)"
 
 
-@query("vocabulary_counts", DOCS + "select * from (" + " union all ".join(f"select {lit(w)} as word, sum({tally('lower(raw_text)', w.lower())}) as n from docs" for w in VOCAB) + ") where n > 0")
+@query("vocabulary_counts", with_(more=_WORDS) + "select word, cast(sum((length(t) - length(replace(t, lower(word), ''))) / length(word)) as bigint) as n from vw, (select lower(raw_text) as t from docs) where word <> '' group by word having n > 0")
 def vocabulary_counts(spark, d):
-    return A.vocabulary_counts(D(spark, d), VOCAB)
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return A.vocabulary_counts(D(spark, d), spark.createDataFrame([(w,) for w in fixed.correct_words()], "word string").union(names))
 
 
 @query("benchmark_summary", with_("samples") + "select engine, count(*) as runs, floor(avg(quality_score) * 10 + 0.5) / 10 as quality_score, floor(avg(id % 30) * 10 + 0.5) / 10 as cer, floor(avg(id % 50) * 10 + 0.5) / 10 as wer from samples group by engine")

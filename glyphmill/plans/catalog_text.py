@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import predicates as R, text as P
 from ..functions.extract import PROTECTED, clean_protected
-from ..operators import clean as C, fields as FD, lines as L, rules as U
+from ..operators import clean as C, fields as FD, lexicon as LX, lines as L, rules as U
 from ..sources import exports as X, fixtures as S, tables as T
+from ..sources.staging import scratch
 from .registry import bare, get, hit, line_rows, lines, lit, num, query, rep, squeeze, tally, trim, with_, words
 
 D = S.documents
@@ -63,21 +62,9 @@ def split_words(spark, d):
                                    F.sum(F.length("word") * F.col("pos")).alias("checksum"))
 
 
-def _scratch(spark, kind):
-    """A new output folder: under the shared folder on a cluster, temporary in local tests."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="glyphmill-")
-    return f"{root}/{kind}-{uuid.uuid4().hex}"
-
-
 @query("export_lines_csv", DOCS + "select source as file, 'portrait' as orientation, unnest(s) as text, generate_subscripts(s, 1) as line from (select source, string_split(raw_text, chr(10)) as s from docs)")
 def export_lines_csv(spark, d):
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     X.export_lines_csv(D(spark, d), path, text_col="raw_text")
     back = spark.read.schema("file string, orientation string, line int, text string").csv(path, header=True, quote='"', escape='"')
     return back.select("file", "orientation", "line", F.coalesce("text", F.lit("")).alias("text"))
@@ -85,7 +72,7 @@ def export_lines_csv(spark, d):
 
 @query("export_json", DOCS + "select doc_id, source, raw_text, len(string_split(raw_text, chr(10))) as n_lines from docs")
 def export_json(spark, d):
-    path = _scratch(spark, "json")
+    path = scratch(spark, "json")
     docs = D(spark, d).select("doc_id", "source", "raw_text", F.transform(F.split("raw_text", "\n"), lambda x, i: F.struct(
         (i + 1).alias("line"), x.alias("text"))).alias("lines"))
     X.export_json(docs, path)
@@ -230,6 +217,29 @@ def apply_rules_logged(spark, d):
     return done.select("doc_id", "text", F.size("fixes").alias("n_fixes"), F.to_json(U.typed_fixes(F.col("fixes"))).alias("fixes"))
 
 
+# A rule for each customer; a receipt names one of them.
+_CUSTOMERS = "cu as (select c_custkey as rule, 'STORE ' || c_name as wrong, 'SHOP ' || cast(c_custkey as varchar) as correct from customer)"
+
+
+def _customer_rules(spark, d):
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    return customers.select(F.col("c_custkey").alias("rule"), F.concat(F.lit("STORE "), "c_name").alias("wrong"), F.concat(F.lit("SHOP "), F.col("c_custkey").cast("string")).alias("correct"))
+
+
+@query("apply_rule_table", with_("receipts", more=_CUSTOMERS) + "select doc_id, replace(raw_text, wrong, correct) as text, 1 as n_used from receipts join orders on doc_id = o_orderkey join cu on o_custkey = rule")
+def apply_rule_table(spark, d):
+    """Corrections that come as a table, over every receipt."""
+    done = LX.apply_table(S.rendered(spark, d, "receipts"), _customer_rules(spark, d), "raw_text")
+    return done.select("doc_id", "text", F.size("used").alias("n_used"))
+
+
+@query("count_rule_use", with_(more=_CUSTOMERS) + "select rule, wrong, correct, count(o_orderkey) as used from cu left join orders on o_custkey = rule group by all")
+def count_rule_use(spark, d):
+    """The table of corrections with its uses."""
+    rules = _customer_rules(spark, d)
+    return LX.count_used(rules, LX.apply_table(S.rendered(spark, d, "receipts"), rules, "raw_text"))
+
+
 JOIN = ["network", "address", "thing", "other", "and"]
 
 
