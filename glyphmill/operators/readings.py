@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores as Q, text as P
 from ..functions.distance import align_arrays
 from ..functions.predicates import mojibake
+from .dictionary import match_texts
 from .rules import accuracy_spell
 
 
@@ -76,13 +75,14 @@ def diff_words(decided: DataFrame, keys=("doc_id",)) -> DataFrame:
         F.filter(words, lambda w: ~known(w)).alias("differing"))
 
 
-def cluster_vote(aligned: DataFrame, dictionary=(), min_sim: float = 0.76) -> DataFrame:
+def cluster_vote(aligned: DataFrame, dictionary: DataFrame | None = None, min_sim: float = 0.76) -> DataFrame:
     """Greedy similarity clusters per line; the best-scored cluster decides.
 
     At most one reading per engine takes part, so the fold is over a handful of
     items inside one row. Readings that agree up to case are not in conflict.
+    ``dictionary`` is a table of words of any size: a cluster gains by entries
+    that are near or part of its readings, and takes over one nearer than 0.82.
     """
-    lowered = [d.lower() for d in dictionary]
     readings = F.transform(F.filter("r", lambda x: x["text"] != ""), lambda x: F.struct(
         P.squeeze(x["text"]).alias("text"), x["confidence"].alias("confidence")))
     df = aligned.withColumn("_r", readings).where(F.size("_r") > 0)
@@ -99,23 +99,19 @@ def cluster_vote(aligned: DataFrame, dictionary=(), min_sim: float = 0.76) -> Da
     fold = F.aggregate(F.when(F.col("conflict"), F.col("_texts")), F.array().cast(cluster_t), place)
     df = df.withColumn("_clusters", fold)
 
+    if dictionary is not None:
+        df = match_texts(df.withColumn("_t", F.when(F.col("conflict"), F.array_distinct("_texts"))), "_t", dictionary, "_m")
+        df = df.withColumn("_m", F.map_from_arrays("_t", "_m")).drop("_t")
+
     def word_score(t):
-        if not lowered:
-            return F.lit(0)
-        low = F.lower(F.trim(t))
-        exact = low.isin(*lowered)
-        part = reduce(lambda a, b: a | b, [low.contains(d) | F.lit(d).contains(low) for d in lowered])
-        return F.when(low == "", 0).when(exact, 100).when(part, 65).otherwise(0)
+        return F.lit(0) if dictionary is None else F.element_at("_m", t)["score"]
 
     def suggestion(t):
-        if not lowered:
-            return F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit("").alias("w"))
-        low = F.lower(F.trim(t))
-        best = F.array_max(F.array(*[
-            F.struct(Q.similarity(low, F.lit(d)).alias("s"), F.lit(-i).alias("i"), F.lit(w).alias("w"))
-            for i, (d, w) in enumerate(zip(lowered, dictionary))
-        ]))
-        return F.when(best["s"] > 0.72, best).otherwise(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit("").alias("w")))
+        none = F.struct(F.lit(0.0).alias("s"), F.lit("").alias("w"))
+        if dictionary is None:
+            return none
+        near = F.element_at("_m", t)
+        return F.when(near["similarity"].isNotNull(), F.struct(near["similarity"].alias("s"), near["entry"].alias("w"))).otherwise(none)
 
     def first_longest(items):
         return F.array_min(F.transform(items, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t"))))["t"]

@@ -507,7 +507,8 @@ def dictionary_match(spark, d):
 
 @query("learn_corrections")
 def learn_corrections(spark, d):
-    return M.learn_corrections(S.rendered(spark, d, "edits"))
+    """Corrections not yet in the table of saved ones."""
+    return M.learn_corrections(S.rendered(spark, d, "edits"), known=saved_corrections(spark, d))
 
 
 @query("neighbour_vote")
@@ -594,9 +595,21 @@ def top_candidates(spark, d):
     return V.top_candidates(S.candidates(spark, d), score="confidence").select("doc_id", "engine_id", "rank")
 
 
+def known_words(spark, d):
+    """A dictionary table: the fixed words and those of the part names."""
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return spark.createDataFrame([(w,) for _, w in fixed.pairs("dictionary")], "word string").union(names)
+
+
+def saved_corrections(spark, d):
+    """Corrections as users would save them: each frequent word with an o, misread."""
+    words = T.split_words(D(spark, d)).where(F.col("word").contains("o") & (F.length("word") >= 4)).groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    return words.select(F.expr("xxhash64(word) & 4611686018427387903").alias("rule"), F.replace("word", F.lit("o"), F.lit("0")).alias("wrong"), F.col("word").alias("correct"))
+
+
 @query("cluster_vote")
 def cluster_vote(spark, d):
-    out = V.cluster_vote(V.align_candidates(S.candidates(spark, d), squeeze=True))
+    out = V.cluster_vote(V.align_candidates(S.candidates(spark, d), squeeze=True), known_words(spark, d))
     return out.select("doc_id", "line_no", "conflict", "selected", F.round("confidence", 3).alias("confidence"), "votes", "resolved")
 
 
@@ -664,7 +677,7 @@ def consensus(spark, d):
 
 @query("ensemble")
 def ensemble(spark, d):
-    return G.ensemble(S.candidates(spark, d)).select("doc_id", "document_type", "final_confidence", "vote_confidence", "conflicts", "resolved", "warnings", "final_text")
+    return G.ensemble(S.candidates(spark, d), dictionary=known_words(spark, d), corrections=saved_corrections(spark, d)).select("doc_id", "document_type", "final_confidence", "vote_confidence", "conflicts", "resolved", "warnings", "final_text")
 
 
 @query("paged_documents")

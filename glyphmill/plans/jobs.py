@@ -8,7 +8,8 @@ from .. import fixed
 from ..functions import classify as K, extract as E, predicates as R, scores as Q, text as P
 from ..operators import fields as FD, lines as L, matching as M, pages as PG, readings as V
 from ..operators.clean import REVIEW_STEPS, clean_text
-from ..operators.rules import accuracy_spell, apply_corrections, correction_rules
+from ..operators.lexicon import apply_table
+from ..operators.rules import accuracy_spell
 from ..sources.exports import append_keep_last_n, ordered_text
 
 REVIEW_ITEM = "array<struct<text:string,type:string,reason:string>>"
@@ -106,8 +107,11 @@ def consensus(candidates: DataFrame, keys=("doc_id",), level: str = "safe", full
     return df.select(*keys, "final_text", F.col("confidence").cast("int").alias("confidence"), "profile", "mismatches", "failed", "issues", "removed", "review_1", "review_2")
 
 
-def ensemble(candidates: DataFrame, keys=("doc_id",), dictionary=(), corrections=()) -> DataFrame:
-    """Ranked readings, cluster vote, corrections, government review, fields and final confidence."""
+def ensemble(candidates: DataFrame, keys=("doc_id",), dictionary: DataFrame | None = None, corrections: DataFrame | None = None) -> DataFrame:
+    """Ranked readings, cluster vote, corrections, government review, fields and final confidence.
+
+    ``dictionary(word)`` and ``corrections(rule, wrong, correct)`` are tables of any size.
+    """
     keys = list(keys)
     ranked = V.rank_engines(V.score_readings(candidates, keys=keys), keys)
     low = F.size("uncertain_words") if "uncertain_words" in candidates.columns else F.lit(0)
@@ -123,7 +127,8 @@ def ensemble(candidates: DataFrame, keys=("doc_id",), dictionary=(), corrections
     df = per_doc.join(conflicts, keys, "left").join(text, keys, "left").fillna({"conflicts": 0, "resolved": 0, "voted_text": ""})
     vote = P.clamp(F.coalesce("mean_confidence", F.lit(0.0)) * 0.48 + F.col("resolved") / F.greatest(F.lit(1), F.col("conflicts")) * 38
                    + F.least(F.lit(14.0), F.size(P.words_of(F.col("voted_text"))) / 12))
-    df = df.withColumn("vote_confidence", P.one_decimal(vote)).withColumn("text", apply_corrections(F.col("voted_text"), correction_rules(corrections)))
+    df = df.withColumn("vote_confidence", P.one_decimal(vote))
+    df = df.withColumnRenamed("voted_text", "text") if corrections is None else apply_table(df, corrections, "voted_text")
     gov = government_review(df.select(*keys, "text"), "text").select(
         *keys, F.col("document_type").alias("gov_type"), F.col("clean_text").alias("gov_text"), F.col("confidence").alias("gov_confidence"),
         F.col("year_warning").cast("int").alias("gov_warnings"), F.size("review").alias("gov_review"))
