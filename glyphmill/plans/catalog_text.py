@@ -28,26 +28,45 @@ def load_documents(spark, d):
     return D(spark, d).withColumn("n", F.length("raw_text"))
 
 
-# Payload kinds by document: parallel arrays, older key names, or nested lists.
-@query("ingest_engine_json", with_(more=line_rows()) + f"""select doc_id, line_no, line as text,
-    floor((case when doc_id % 2 = 0 then ((line_no * 7 + doc_id) % 100) / 100.0 * 100 else (line_no * 7 + doc_id) % 100 end) * 100 + 0.5) / 100 as confidence,
-    case when doc_id % 3 = 2 then 'th' else 'en' end as language,
-    case when contains(line, ':') and length(line) <= 90 then 'key_value' when {tally('line', '|')} >= 2 then 'table_row' else 'text' end as block_type
-    from ls where not (doc_id % 2 = 1 and (line_no * 7 + doc_id) % 100 = 1)""")
+# Payload shapes by document: parallel arrays, older key names, old lines, a result under res, a list of two results, old lines in two
+# pages, one bad score, and every fiftieth no JSON at all.
+_RAW = "((line_no * 7 + doc_id) % 100)"
+_PAYLOAD_LINES = f"""pl as (select *, max(line_no) over (partition by doc_id) as m, doc_id % 7 as k, {_RAW} / (case when doc_id % 2 = 0 then 100e0 else 1e0 end) as s from ls where doc_id % 50 <> 0),
+    kl as (select *, k = 4 and line_no > (m + 1) // 2 as second from pl where not (k = 6 and line_no = 1))"""
+
+
+@query("ingest_engine_json", with_(more=line_rows() + ", " + _PAYLOAD_LINES) + f"""select doc_id, case when second then 2 else 1 end as page_no, line_no - case when second then (m + 1) // 2 else 0 end as line_no, line as text,
+    floor((case when s <= 1 then s * 100 else s end) * 100 + 0.5) / 100 as confidence, case when k in (2, 5) then 'th' else 'en' end as language,
+    case when contains(line, ':') and length(line) <= 90 then 'key_value' when {tally('line', '|')} >= 2 then 'table_row' else 'text' end as block_type from kl""")
 def ingest_engine_json(spark, d):
-    docs = D(spark, d).withColumn("l", P.lines_of(F.col("raw_text")))
+    return T.ingest_engine_json(_payloads(spark, d)).select("doc_id", "page_no", "line_no", "text", "confidence", "language", "block_type")
+
+
+@query("rejected_payloads", with_(more=line_rows()) + f"""select doc_id, cast(null as int) as line_no, 'not json' as reason from docs where doc_id % 50 = 0 union all
+    select doc_id, null, 'no text' from (select doc_id, len({lines('raw_text')}) as n from docs) where doc_id % 50 <> 0 and n = 0 union all select doc_id, line_no, 'score is no number' from ls where doc_id % 50 <> 0 and doc_id % 7 = 6 and line_no = 1""")
+def rejected_payloads(spark, d):
+    return T.rejected_payloads(_payloads(spark, d)).select("doc_id", "line_no", "reason")
+
+
+def _payloads(spark, d):
+    docs = D(spark, d).withColumn("l", P.lines_of(F.col("raw_text"))).withColumn("k", F.col("doc_id") % 7)
     raw = lambda i: (i + 1) * 7 + F.col("doc_id")
-    score = F.transform("l", lambda x, i: F.when(F.col("doc_id") % 2 == 0, raw(i) % 100 / 100.0).otherwise((raw(i) % 100).cast("double")))
-    modern = F.to_json(F.struct(F.col("l").alias("rec_texts"), score.alias("rec_scores"), F.lit("EN").alias("lang")))
-    older = F.to_json(F.struct(F.col("l").alias("texts"), score.alias("scores"), F.lit("english").alias("lang")))
-    nested = F.concat(F.lit("["), F.array_join(F.transform(F.arrays_zip(F.col("l").alias("t"), score.alias("s")), lambda z: F.concat(
-        F.lit("[[[0.0,1.0],[2.0,3.0]],["), F.regexp_extract(F.to_json(F.struct(z["t"].alias("a"))), r"^\{\"a\":(.*)\}$", 1), F.lit(","),
-        z["s"].cast("string"), F.lit("]]"))), ","), F.lit("]"))
-    payload = F.when(F.col("doc_id") % 3 == 0, modern).when(F.col("doc_id") % 3 == 1, older).otherwise(nested)
-    out = T.ingest_engine_json(docs.select("doc_id", payload.alias("payload")))
-    # A bare score of 1 is ambiguous (1 or 100 percent) and left out on both sides.
-    return out.where(~((F.col("doc_id") % 2 == 1) & ((F.col("line_no") * 7 + F.col("doc_id")) % 100 == 1))).select(
-        "doc_id", "line_no", "text", "confidence", "language", "block_type")
+    docs = docs.withColumn("s", F.transform("l", lambda x, i: F.when(F.col("doc_id") % 2 == 0, raw(i) % 100 / 100.0).otherwise((raw(i) % 100).cast("double"))))
+    half = F.ceil(F.size("l") / 2).cast("int")
+    part = lambda c, n: F.slice(c, 1, half) if n == 1 else F.slice(c, half + 1, F.size(c))
+    result = lambda texts, scores, **more: F.struct(F.lit("EN").alias("lang"), texts, scores, *[v.alias(n) for n, v in more.items()])
+    modern = result(F.col("l").alias("rec_texts"), F.col("s").alias("rec_scores"))
+    older = result(F.col("l").alias("texts"), F.col("s").alias("scores"))
+    bad = result(F.col("l").alias("texts"), F.transform("s", lambda x, i: F.when(i == 0, "n/a").otherwise(x.cast("string"))).alias("scores"))
+    pages = F.array(*[result(part("l", n).alias("rec_texts"), part("s", n).alias("rec_scores"), page_number=F.lit(n)) for n in (1, 2)])
+    old = F.transform(F.arrays_zip(F.col("l").alias("t"), F.col("s").alias("s")), lambda z: F.concat(
+        F.lit("[[[0.0,1.0],[2.0,3.0]],["), F.regexp_extract(F.to_json(F.struct(z["t"].alias("a"))), r"^\{\"a\":(.*)\}$", 1), F.lit(","), z["s"].cast("string"), F.lit("]]")))
+    listed = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
+    shapes = [F.to_json(modern), F.to_json(older), listed(old), F.to_json(F.struct(modern.alias("res"))), F.to_json(pages), F.concat(F.lit("["), listed(part(old, 1)), F.lit(","), listed(part(old, 2)), F.lit("]")), F.to_json(bad)]
+    payload = F.when(F.col("doc_id") % 50 == 0, "{no json")
+    for k, shape in enumerate(shapes):
+        payload = payload.when(F.col("k") == k, shape)
+    return docs.select("doc_id", payload.alias("payload"))
 
 
 @query("split_lines", with_(more=line_rows()) + "select doc_id, line_no, line from ls")

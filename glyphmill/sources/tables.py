@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import ingest_text, lines_of, trim, words_of
+from .payloads import POINTS, parsed_payloads
 
 RAW = "raw_text"
 
@@ -39,14 +40,6 @@ def split_words(df: DataFrame, text_col: str = RAW, keys=("doc_id",)) -> DataFra
         *keys, (F.col("pos") + 1).alias("pos"), "word")
 
 
-POINTS = "array<array<double>>"
-# Modern payloads hold parallel arrays, legacy payloads a list of [box, [text, score]].
-MODERN = (
-    f"struct<rec_texts:array<string>,texts:array<string>,rec_scores:array<double>,scores:array<double>,"
-    f"rec_polys:array<{POINTS}>,dt_polys:array<{POINTS}>,boxes:array<{POINTS}>,lang:string,page_number:int>"
-)
-
-
 def fold_language(lang: Column) -> Column:
     low = F.lower(F.coalesce(lang, F.lit("th")))
     return F.when(low.isin("tha", "thai", "th", "tha+eng", "th+en"), "th").when(
@@ -67,31 +60,25 @@ def region_type(text: Column, box: Column, height: Column) -> Column:
 
 
 def ingest_engine_json(df: DataFrame, payload: str = "payload", keys=("doc_id",), height: float | None = None) -> DataFrame:
-    """Engine payloads to line rows; scores up to 1 become percentages, blanks drop.
+    """Engine payloads of any shape to line rows; scores up to 1 become percentages, blanks drop.
 
-    Lines keep their position in the payload as ``line_no``.
+    Lines keep their position in their result as ``line_no``. What gives no line is in ``rejected_payloads``.
     """
-    first = lambda *names: F.coalesce(*[F.when(F.size(f"_p.{n}") > 0, F.col(f"_p.{n}")) for n in names])
-    legacy = F.from_json(F.col(payload), "array<array<string>>")
-    df = df.withColumn("_p", F.from_json(F.col(payload), MODERN)).withColumn("_old", F.when(F.col(payload).startswith("["), legacy))
-    old_rec = F.transform("_old", lambda x: F.from_json(F.try_element_at(x, F.lit(2)), "array<string>"))
-    texts = F.coalesce(first("rec_texts", "texts"), F.transform(old_rec, lambda r: F.try_element_at(r, F.lit(1))))
-    scores = F.coalesce(first("rec_scores", "scores"), F.transform(old_rec, lambda r: F.try_element_at(r, F.lit(2)).try_cast("double")))
-    boxes = F.coalesce(first("rec_polys", "dt_polys", "boxes"), F.transform("_old", lambda x: F.from_json(F.try_element_at(x, F.lit(1)), POINTS)),
-                       F.array().cast(f"array<{POINTS}>"))
-    df = df.select(
-        *keys, F.coalesce("_p.page_number", F.lit(1)).alias("page_no"), fold_language(F.col("_p.lang")).alias("language"),
-        F.posexplode(F.arrays_zip(texts.alias("text"), scores.alias("score"), boxes.alias("box"))).alias("pos", "line"),
-    )
-    text, box = trim(F.coalesce(F.col("line.text"), F.lit(""))), F.col("line.box")
+    rows = parsed_payloads(df, payload, keys).select(*keys, F.inline("lines")).where("not bad")
+    text, box = F.col("text"), F.coalesce("box", F.array().cast(POINTS))
     shape = F.when(text.contains(":") & (F.length(text) <= 90), "key_value").when(
         F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit(""))) >= 2, "table_row").otherwise("text")
     block = shape if height is None else F.coalesce(region_type(text, box, F.lit(height)), shape)
-    return df.select(
-        *keys, "page_no", "language", (F.col("pos") + 1).alias("line_no"), text.alias("text"),
-        as_percent(F.coalesce(F.col("line.score"), F.lit(0.0))).alias("confidence"), box.alias("bounding_box"),
-        block.alias("block_type"),
-    ).where(F.col("text") != "")
+    return rows.where(text != "").select(*keys, "page_no", fold_language(F.col("lang")).alias("language"), "line_no", "text", as_percent(F.col("score")).alias("confidence"),
+                                         box.alias("bounding_box"), block.alias("block_type"))
+
+
+def rejected_payloads(df: DataFrame, payload: str = "payload", keys=("doc_id",)) -> DataFrame:
+    """``(keys, page_no, line_no, reason, value)``: payloads without a line, and lines whose score is no number (with their text)."""
+    rows = parsed_payloads(df, payload, keys)
+    whole = rows.where("reason is not null").select(*keys, F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("int").alias("line_no"), "reason", F.col(payload).alias("value"))
+    lines = rows.select(*keys, F.inline("lines")).where("bad and text <> ''").select(*keys, "page_no", "line_no", F.lit("score is no number").alias("reason"), F.col("text").alias("value"))
+    return whole.unionByName(lines)
 
 
 def text_layer_lines(df: DataFrame, text_col: str, keys=("doc_id", "page_no")) -> DataFrame:
