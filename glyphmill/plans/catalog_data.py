@@ -10,6 +10,8 @@ from .. import fixed
 from ..functions import classify as K, extract as E, scores as Q, text as P
 from ..operators import fields as FD, lines as L, matching as M, pages as PG, readings as V, rollups as A, rules as U
 from ..sources import exports as X, fixtures as S, tables as T
+from ..sources.staging import scratch
+from ..streaming import streams as ST
 from ..streaming.streams import stream_quality as quality_windows
 from . import jobs as G
 from .catalog_text import run_pattern
@@ -659,6 +661,52 @@ def stream_quality(spark, d):
     return out.select("window_start", "engine", "samples", thousandths.alias("avg_quality"))
 
 
+# Samples arrive in four deliveries by time; every fiftieth comes last of all.
+_ARRIVALS = """m as (select min(epoch_us(created_at)) as lo, max(epoch_us(created_at)) + 1 as hi, max(epoch_us(created_at)) filter (id % 50 <> 0) as ontime from samples),
+    ar as (select s.*, epoch_us(created_at) as us, case when id % 50 = 0 then 4 else (epoch_us(created_at) - lo) * 4 // (hi - lo) end as part, ontime, hi - 1 as newest from samples s, m)"""
+
+
+def _arrivals(spark, d):
+    rows = S.rendered(spark, d, "samples").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    rows = rows.withColumn("us", F.unix_micros("created_at"))
+    ends = rows.agg(F.min("us").alias("lo"), (F.max("us") + 1).alias("hi"))
+    return rows.crossJoin(F.broadcast(ends)).withColumn("part", F.expr("cast(case when id % 50 = 0 then 4 else (us - lo) * 4 div (hi - lo) end as int)")).drop("lo", "hi", "us")
+
+
+@query("quality_stream", with_("samples", more=_ARRIVALS + """, ev as (select *, time_bucket(interval '1 hour', created_at) as w, id % 50 = 0 and epoch_us(time_bucket(interval '1 hour', created_at)) + 3600000000 <= ontime - 600000000 as late,
+    cast(cast(nullif(quality_score, 0) as decimal(18,2)) * 100 as bigint) as c from ar)""") + """select w as window_start, engine, count(*) filter (not late) as samples, sum(c) filter (not late) as cents, count(*) filter (late) as late from ev
+    where epoch_us(w) + 3600000000 <= newest - 600000000 group by w, engine having count(*) filter (not late) > 0""")
+def quality_stream(spark, d):
+    """A real stream over ordered deliveries with a watermark: closed windows, and the rows that came too late for them."""
+    rows, folder = _arrivals(spark, d), scratch(spark, "quality")
+    ST.replay(rows, "part", 5, f"{folder}/in", lambda stream, i: ST.quality_stream(stream, f"{folder}/out", f"{folder}/state"))
+    closed = spark.read.parquet(f"{folder}/out")
+    return ST.late_rows(rows, closed).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "engine", "samples", "cents", "late")
+
+
+@query("retention_stream", with_("samples", more=_ARRIVALS + ", al as (select distinct engine || '/' || layout_type as owner, id, us from ar where us // 1000 + 7200 * 60000 > (newest - 600000000) // 1000)") +
+       "select owner, cast(row_number() over (partition by owner order by us desc, id desc) as int) as rank, id, make_timestamp(us) as created_at from al qualify row_number() over (partition by owner order by us desc, id desc) <= 7")
+def retention_stream(spark, d):
+    """The newest seven rows of each owner as the state of a stream; every third row is delivered twice, and rows end after five days."""
+    rows, folder = _arrivals(spark, d), scratch(spark, "retention")
+    again = rows.where("id % 3 = 0 and part < 4").withColumn("part", F.col("part") + 1)
+    rows = rows.unionByName(again).withColumn("owner", F.concat("engine", F.lit("/"), "layout_type")).select("owner", "id", "created_at", "part")
+    ST.replay(rows, "part", 5, f"{folder}/in", lambda stream, i: ST.retention_stream(stream, f"{folder}/out", f"{folder}/state", i, 7, 7200))
+    return ST.newest_state(spark, f"{folder}/out").select("owner", "rank", "id", F.timestamp_micros("at").cast("timestamp_ntz").alias("created_at"))
+
+
+@query("clean_stream", with_() + f"select doc_id, case when {trim('raw_text')} = '' then 0 else 1 end as results, case when {trim('raw_text')} = '' then 1 else 0 end as rejected, 0 as missing_fixes from docs")
+def clean_stream(spark, d):
+    """Cleaning as a stream with three sinks over two deliveries; counts of each document's rows in them."""
+    docs, folder = D(spark, d).withColumn("part", F.expr("cast(pmod(doc_id, 2) as int)")), scratch(spark, "clean")
+    ST.replay(docs, "part", 2, f"{folder}/in", lambda stream, i: ST.clean_to_sinks(stream, folder, f"{folder}/state"))
+    done, fixes, rejected = (ST.read_sink(spark, folder, n) for n in ("results", "fixes", "rejected"))
+    tally = done.select("doc_id", "n_fixes", F.lit(1).alias("results"), F.lit(0).alias("rejected")).unionByName(rejected.select("doc_id", F.lit(0).alias("n_fixes"), F.lit(0).alias("results"), F.lit(1).alias("rejected")))
+    tally = tally.groupBy("doc_id").agg(F.sum("results").alias("results"), F.sum("rejected").alias("rejected"), F.sum("n_fixes").alias("wanted"))
+    found = fixes.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("n"))
+    return tally.join(found, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "results", "rejected", (F.col("wanted") - F.coalesce("n", F.lit(0))).alias("missing_fixes"))
+
+
 @query("choose_page_source")
 def choose_page_source(spark, d):
     return PG.choose_page_source(S.doc_pages(spark, d)).select("doc_id", "page_no", "method", "confidence", "raw_text")
