@@ -73,3 +73,11 @@ def document_text(pages: DataFrame, keys=("doc_id",), separate: bool = True) ->
     block = F.concat(F.lit(RULE + "\nหน้า "), F.col("page_no").cast("string"), F.lit("\n" + RULE + "\n"), P.trim(text)) if separate else text
     rows = pages.where(~F.col("skipped_blank")).select(*keys, "page_no", block.alias("_block"))
     return ordered_text(rows, list(keys), "page_no", "_block", "document_text", "\n\n")
+
+
+def document_blocks(pages: DataFrame, keys=("doc_id",), separate: bool = True) -> DataFrame:
+    """``(keys, page_no, value)``: the block of each page that isn't blank, for an ordered export; a page without text says so."""
+    text = F.when(F.col("cleaned_text") != "", F.col("cleaned_text")).otherwise(F.col("raw_text"))
+    text = F.when(P.trim(F.coalesce(text, F.lit(""))) == "", F.lit("ไม่พบข้อความในหน้านี้")).otherwise(P.trim(text))
+    block = F.concat(F.lit(RULE + "\nหน้า "), F.col("page_no").cast("string"), F.lit("\n" + RULE + "\n"), text) if separate else text
+    return pages.where(~F.col("skipped_blank")).select(*keys, "page_no", block.alias("value"))

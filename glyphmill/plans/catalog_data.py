@@ -728,9 +728,41 @@ def ensemble(spark, d):
     return G.ensemble(S.candidates(spark, d), dictionary=known_words(spark, d), corrections=saved_corrections(spark, d)).select("doc_id", "document_type", "final_confidence", "vote_confidence", "conflicts", "resolved", "warnings", "final_text")
 
 
+# Words on a grid of six columns, 80 apart, on pages of 20 lines: the spread of a document is that of its first line.
+@query("position_columns", with_(more=f"it as (select doc_id, (generate_subscripts(w, 1) - 1) % 6 as c from (select doc_id, {words('raw_text')} as w from docs))") + "select doc_id, cast(max(c) * 80 as double) as x_spread, count(distinct c) as columns from it group by doc_id")
+def position_columns(spark, d):
+    """Columns of positioned items by the gaps between their beginnings."""
+    return M.item_spread(S.text_items(spark, d))
+
+
+@query("columns_layout", with_(more=f"""it as (select doc_id, {lines('raw_text')} as l, len({words('raw_text')}) as n from docs)""") + f"""select doc_id, case when {_n_lines(_TAB)} >= greatest(2, len(l) * 0.25) then 'table' when {_n_lines(_KV)} >= 3 then 'form/key-value'
+    when n >= 6 and len(l) > 8 then 'columns' when len(l) > 4 and length(l[1]) < 90 and length(l[-1]) < 90 and {_n_lines(_PNO, 'i')} > 0 then 'header/footer/page-number' when len(l) > 8 then 'paragraphs' else 'plain' end as layout from it""")
+def columns_layout(spark, d):
+    """The layout of whole documents whose words have positions."""
+    df = D(spark, d).join(M.item_spread(S.text_items(spark, d)), "doc_id", "left")
+    return df.select("doc_id", K.page_layout(F.col("raw_text"), F.col("x_spread")).alias("layout"))
+
+
 @query("paged_documents")
 def paged_documents(spark, d):
-    return G.paged_documents(S.doc_pages(spark, d)).select("doc_id", "page_no", "method", "confidence", "language", "layout", "char_count", "symbol_score", "review_required", "cleaned_text")
+    """Pages 1 to 3 and 5, the engine's text against the text layer on each, with positions on every page."""
+    pages = S.doc_pages(spark, d)
+    items = T.split_words(pages, "page_text", ("doc_id", "page_no")).selectExpr("doc_id", "page_no", "cast(((pos - 1) % 6) * 80 as double) as x")
+    done = G.paged_documents(pages, "auto-all", spec="1-3,5", items=items)
+    return done.select("doc_id", "page_no", "method", "confidence", "language", "layout", "columns", "char_count", "symbol_score", "review_required", "cleaned_text")
+
+
+@query("run_log", "with it as (select item_id, cast(item_id as varchar) as id from benchmark), lg as (select 'first' as engine, id, 1 as run from it union all select 'second', id, 2 from it union all select 'first', id, 3 from it where item_id % 2 = 0), "
+       "kp as (select * from lg qualify row_number() over (partition by engine order by run desc, id desc) <= 25) select engine, count(*) as runs, min(id) as least_id, max(id) as largest_id, max(run) as last_run from kp group by engine")
+def run_log(spark, d):
+    """Three runs appended to the log, which keeps 25 of each engine, and its summary."""
+    items, root = spark.read.parquet(f"{d}/benchmark.parquet"), scratch(spark, "runs")
+    texts = items.select("item_id", F.concat(F.lit("image "), "item_id").alias("name"), F.col("text").alias("truth"), F.replace("text", F.lit("o"), F.lit("0")).alias("raw"),
+                         F.replace("text", F.lit("th"), F.lit("tn")).alias("enhanced"), (F.col("item_id") % 100).alias("quality_score"))
+    for run, (engine, part) in enumerate([("first", texts), ("second", texts), ("first", texts.where("item_id % 2 = 0"))], 1):
+        log = G.log_benchmark(part, root, engine, f"2024-01-01 00:00:0{run}", 25)
+    seen = log.groupBy(F.col("engine").alias("_e")).agg(F.min("id").alias("least_id"), F.max("id").alias("largest_id"), F.max(F.second("created_at")).alias("last_run"))
+    return A.benchmark_summary(log).join(seen, F.col("engine") == F.col("_e")).select("engine", "runs", "least_id", "largest_id", "last_run")
 
 
 @query("benchmark_runs")

@@ -99,6 +99,19 @@ def export_json(spark, d):
     return spark.read.schema(schema).json(path).select("doc_id", "source", "raw_text", F.size("lines").alias("n_lines"))
 
 
+def _numbered(cells: str, order: str) -> str:
+    """SQL of all lines of ordered cells, numbered from 0."""
+    return f"ex as (select unnest(string_split({cells}, chr(10))) as line, generate_subscripts(string_split({cells}, chr(10)), 1) as k, {order} from cells) select row_number() over (order by {order}, k) - 1 as line_no, line from ex"
+
+
+@query("export_text_files", with_(more="cells as (select doc_id, '[file ' || cast(doc_id as varchar) || ': ' || source || ']' || chr(10) || raw_text || chr(10) as v from docs), " + _numbered("v", "doc_id")))
+def export_text_files(spark, d):
+    """Text blocks as ordered part files, read back line by line."""
+    path = scratch(spark, "text")
+    X.export_text_files(D(spark, d), path, parts=7, text_col="raw_text")
+    return X.read_ordered(spark, path)
+
+
 @query("export_text", DOCS + "select doc_id, '[file ' || cast(doc_id as varchar) || ': ' || source || ']' || chr(10) || raw_text as value from docs")
 def export_text(spark, d):
     return X.text_blocks(D(spark, d), text_col="raw_text")
@@ -116,6 +129,15 @@ def export_page_rows(spark, d):
         "source", "page_no", "'ocr' as method", "ocr_confidence as confidence", "'en' as language", "'plain' as layout", "page_text as cleaned_text"))
 
 
+@query("export_markdown_files", with_(more=PAGES + """, cells as (select doc_id, -1 as page_no, '# Pages' || chr(10) as v from (select distinct doc_id from pages_t) union all select doc_id, page_no, '## หน้า ' || cast(page_no as varchar) || chr(10) || chr(10) || '- Method: ocr' || chr(10) || '- Confidence: '
+    || cast(60 + (doc_id * 7 + page_no * 13) % 40 as varchar) || '%' || chr(10) || '- Language: en' || chr(10) || '- Layout: -' || chr(10) || chr(10) || replace(text, 'o', '0') || chr(10) as v from pages_t), """ + _numbered("v", "doc_id, page_no")))
+def export_markdown_files(spark, d):
+    """Markdown pages as ordered part files, read back line by line."""
+    path = scratch(spark, "markdown")
+    X.export_markdown_files(S.doc_pages(spark, d).selectExpr("doc_id", "page_no", "'ocr' as method", "ocr_confidence as confidence", "'en' as language", "'' as layout", "ocr_text as cleaned_text"), path, parts=7)
+    return X.read_ordered(spark, path)
+
+
 @query("export_markdown", with_(more=PAGES) + """select doc_id, '# Pages' || chr(10) || chr(10) || string_agg('## หน้า ' || cast(page_no as varchar) || chr(10) || chr(10) || '- Method: ocr' || chr(10) || '- Confidence: '
     || cast(60 + (doc_id * 7 + page_no * 13) % 40 as varchar) || '%' || chr(10) || '- Language: en' || chr(10) || '- Layout: -' || chr(10) || chr(10) || replace(text, 'o', '0'), chr(10) || chr(10) order by page_no) as markdown
     from pages_t group by doc_id""")

@@ -10,7 +10,9 @@ from ..operators import fields as FD, lines as L, matching as M, pages as PG, re
 from ..operators.clean import REVIEW_STEPS, clean_text
 from ..operators.lexicon import apply_table
 from ..operators.rules import accuracy_spell
-from ..sources.exports import append_keep_last_n, ordered_text
+from ..sources.exports import append_keep_last_n, ordered_text, write_ordered
+from ..sources.staging import read_version, write_version
+from ..sources.tables import page_range
 
 REVIEW_ITEM = "array<struct<text:string,type:string,reason:string>>"
 HEADER = "บันทึกข้อความ|หนังสือราชการ|ส่วนราชการ"
@@ -155,13 +157,24 @@ def ensemble(candidates: DataFrame, keys=("doc_id",), dictionary: DataFrame | No
             P.one_decimal(resolved_pct).alias("resolved_pct"), "low_words").alias("explanation"))
 
 
-def paged_documents(pages: DataFrame, strategy: str = "auto", level: str = "safe") -> DataFrame:
-    """Page table: chosen source, features, low-confidence parts, cleaned text, accuracy report."""
-    df = PG.page_features(PG.choose_page_source(pages, strategy))
+def paged_documents(pages: DataFrame, strategy: str = "auto", level: str = "safe", spec: str = "all", items: DataFrame | None = None, keys=("doc_id", "page_no")) -> DataFrame:
+    """Page table: selected pages, chosen source, features, low-confidence parts, cleaned text, accuracy report.
+
+    ``spec`` names pages (``1-3,7``); ``items`` are positioned items with the same keys, from which the layout sees columns.
+    """
+    df = page_range(pages, spec)
+    if items is not None:
+        df = df.join(M.item_spread(items, keys), list(keys), "left")
+    df = PG.page_features(PG.choose_page_source(df, strategy), None if items is None else "x_spread")
     df = PG.line_and_word_confidence(df)
     return PG.page_accuracy_report(clean_text(df, "raw_text", level))
 
 
+def export_documents(pages: DataFrame, path: str, parts: int | None = None) -> None:
+    """The text of all documents of a page table, page after page, as ordered part files."""
+    write_ordered(PG.document_blocks(pages), path, ["doc_id", "page_no"], sep="\n\n", parts=parts)
+
+
 def accuracy_upgrade(candidates: DataFrame, cleaned: DataFrame, keys=("doc_id",)) -> DataFrame:
     """Neighbour vote taken when its score is within four points, pair fixes, reformat."""
     keys = list(keys)
@@ -203,10 +216,24 @@ def benchmark_runs(texts: DataFrame, keys=("item_id",), level: str = "safe") ->
     return df.join(rates, keys, "left")
 
 
-def log_runs(log: DataFrame, new: DataFrame, owner: str = "engine", n: int = 150) -> DataFrame:
-    return append_keep_last_n(log, new, [owner], "created_at", n, "id")
+RUN_COLUMNS = ["raw_score", "final_score", "symbol_accuracy", "cer", "wer", "thai_cer", *[f"{n}_accuracy" for n in Q.TOKEN_CLASSES]]
+
+
+def log_benchmark(texts: DataFrame, root: str, engine: str, created_at, keep: int = 150, level: str = "safe") -> DataFrame:
+    """Run the benchmark over ``texts(item_id, name, truth, raw, enhanced, quality_score)`` and append it to the run log under ``root``.
+
+    The log is a versioned table: the new version is written whole and then seen, with the newest ``keep`` runs of each engine. Returns it.
+    """
+    spark = texts.sparkSession
+    runs = benchmark_runs(texts.select("item_id", "truth", "raw", "enhanced"), level=level)
+    named = texts.select("item_id", F.col("name"), F.col("quality_score").cast("double").alias("quality_score"))
+    new = runs.join(named, "item_id").select(F.col("item_id").cast("string").alias("id"), F.lit(created_at).cast("timestamp").alias("created_at"), "name", F.lit(engine).alias("engine"), "quality_score",
+                                             *[F.col(c).cast("double").alias(c) for c in RUN_COLUMNS], "final_text")
+    log = read_version(spark, root)
+    write_version(append_keep_last_n(new if log is None else log, None if log is None else new, ["engine"], "created_at", keep, "id"), root)
+    return read_version(spark, root)
 
 
 __all__ = [
-    "accuracy_upgrade", "batch_report", "benchmark_runs", "consensus", "ensemble", "government_review", "log_runs", "paged_documents", "polish_final",
+    "accuracy_upgrade", "batch_report", "benchmark_runs", "consensus", "ensemble", "export_documents", "government_review", "log_benchmark", "paged_documents", "polish_final",
 ]
