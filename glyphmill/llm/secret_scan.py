@@ -6,6 +6,11 @@ table, so no window is counted anew. A candidate is reported if the Shannon entr
 character class, unless the allow list suppresses it or a span of a fixed kind already covers part of it. Thresholds lie where about one of
 1,000 random windows of the class falls short. Lower-case letters alone can't be told from a word by entropy: such windows have none.
 
+The allow list has two tests of each part between separators. By shape: words, joined words, numbers, UUIDs. By letter pairs: prose is full of
+a hundred pairs that make up a seventh of random letters, so each pair in or out of them, and each number inside the part, is evidence in
+bits for or against a name such as ``HTML5CanvasRenderingContext2D``. A candidate is suppressed if every part passes one of the tests, and
+in the path of a url.
+
 Scale: each row is judged by itself, without a shuffle. Patterns run only behind a test whether they match at all.
 """
 
@@ -35,6 +40,16 @@ _PART = r"(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9]{1,15}+|[
 # Never secrets: UUIDs, words and numbers, alone or joined by separators, and keys whose end says that they are examples.
 ALLOW = (r"^[-_/+=]*+(?:" + _PART + r"[-_/+=]*+)*+$", r"EXAMPLE(?:KEY)?$")
 
+# Common letter pairs of English, German, French and Spanish prose.
+PAIRS = ("ab ac ad ag ai al am an ap ar as at au av ba be bi bl bo br bu ca ce ch ci ck cl co cr ct cu da de di do du ea ec ed ee ef eg ei el em en ep er es et eu ev ex fe ff fi fo fr fu ga ge gh gi gr gu ha he hi ho ht "
+         "ia ic id ie if ig il im in io ir is it iv ke la ld le li ll lo ly ma me mi mm mo mp na nc nd ne ng ni no ns nt ob oc of og ol om on op or os ou ov ow pa pe ph pl po pp pr qu ra rd re ri ro rs rt ry sa sc se sh si so sp ss st su "
+         "ta te th ti to tr ts tt tu ty ub uc ue ui ul un up ur us ut va ve vi we wh wi wo").split()
+# Bits for a pair of prose, against another pair and against each number in a part; the least sum of a name; parts this short are judged by the rest.
+PROSE, OTHER, NUMBER, NAME, BRIEF = 1.5, 2.6, 3.0, 1.0, 3
+_PROSE_PAIR = "(?i)(?=(?:" + "|".join(PAIRS) + "))"
+URL_PATH = r"""://[^\s"'<>?#]*$"""
+LONGEST_URL = 2048
+
 SPAN = "array<struct<start:int,place:int,stop:int,kind:string>>"
 
 
@@ -93,20 +108,29 @@ def reaches(run: Column, window: int, bits: dict) -> Column:
     return F.aggregate(F.filter(moves, lambda m: m["i"].isNotNull()), begin, lambda s, m: F.when(s["found"], s).otherwise(step(s, m)), lambda s: s["found"])
 
 
+def reads_like_a_name(part: Column) -> Column:
+    """Whether the letter pairs of a part between separators are rather those of prose, in spite of the numbers in it."""
+    prose, pairs = F.regexp_count(part, F.lit(_PROSE_PAIR)), F.regexp_count(part, F.lit("(?=[A-Za-z]{2})"))
+    return prose * PROSE - (pairs - prose) * OTHER - F.regexp_count(part, F.lit("[0-9]+")) * NUMBER >= NAME
+
+
 def entropy_spans(text: Column, allow=()) -> Column:
-    """Spans of candidates with a window of high entropy that aren't on the allow list (patterns, and the strings in ``allow``)."""
+    """Spans of candidates with a window of high entropy that aren't on the allow list (patterns, letter pairs, and the strings in ``allow``)."""
     def keep(run):
         listed = F.lit(False)
         for pattern in ALLOW:
             listed = listed | run.rlike(pattern)
         if allow:
             listed = listed | run.isin(list(allow))
+        named = F.forall(F.split(run, "[-_/+=]+"), lambda p: (F.length(p) <= BRIEF) | p.rlike("^" + _PART + "$") | reads_like_a_name(p))
         long = reaches(run, WINDOW, {name: bits for name, _, bits in CLASSES})
         parts = F.filter(F.split(run, "[-_/+=]+"), lambda p: F.length(p).between(SHORT, WINDOW - 1))
         within = F.exists(parts, lambda p: reaches(p, SHORT, SHORT_BITS))
-        return F.when(listed, F.lit(False)).when(F.length(run) >= WINDOW, long | within).otherwise(reaches(run, SHORT, SHORT_BITS))
+        return F.when(listed | named, F.lit(False)).when(F.length(run) >= WINDOW, long | within).otherwise(reaches(run, SHORT, SHORT_BITS))
 
-    return F.when(text.rlike(TESTS["entropy"]), _walk(text, CANDIDATE, keep, len(KINDS), "entropy")).otherwise(F.array().cast(SPAN))
+    spans = F.filter(_walk(text, CANDIDATE, keep, len(KINDS), "entropy"), lambda s: ~F.substring(
+        text, F.greatest(F.lit(1), s["start"] + 1 - LONGEST_URL), F.least(s["start"], F.lit(LONGEST_URL))).rlike(URL_PATH))
+    return F.when(text.rlike(TESTS["entropy"]), spans).otherwise(F.array().cast(SPAN))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow=()) -> DataFrame:
