@@ -21,11 +21,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bit_sliced import _matrices
-from .shared import stage
+from .shared import narrow, stage, widen
 
 _FAR = np.int64(1 << 62)
 
@@ -120,16 +121,6 @@ class Tree:
         return found
 
 
-def _small(values: np.ndarray) -> bytes:
-    top = int(np.abs(values).max()) if values.size else 0
-    return np.ascontiguousarray(values.astype(next(t for t, m in ((np.int8, 1 << 7), (np.int16, 1 << 15), (np.int32, 1 << 31), (np.int64, 1 << 64)) if top < m))).tobytes()
-
-
-def _wide(blob: bytes, rows: int, width: int) -> np.ndarray:
-    size = len(blob) // max(rows * width, 1)
-    return np.frombuffer(blob, {0: np.int8, 1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[size]).astype(np.int64).reshape(rows, width)
-
-
 _INDEX = "block long, width int, ids array<long>, labels array<long>, asked array<long>, begins array<long>, values binary"
 _PACKET = "home long, part int, width int, rows array<long>, ids array<long>, labels array<long>, values binary"
 
@@ -144,11 +135,11 @@ def index(rows: DataFrame, block_rows: int = 16384, leaf: int = 64) -> DataFrame
         def blocks():
             t = pa.Table.from_batches(batch).combine_chunks()
             for width, ids, values in _matrices(t):
-                sizes = pa.compute.list_value_length(t.column("v"))
+                sizes = pc.list_value_length(t.column("v"))
                 at = np.flatnonzero(np.asarray(sizes) == width)
                 order, begins = str_order(values, leaf)
                 labels, asked = t.column("label").to_numpy()[at][order], np.asarray(t.column("asked"))[at][order]
-                yield pa.RecordBatch.from_pylist([{"block": next(number), "width": width, "ids": ids[order], "labels": labels, "asked": np.flatnonzero(asked), "begins": begins, "values": _small(values[order])}], schema)
+                yield pa.RecordBatch.from_pylist([{"block": next(number), "width": width, "ids": ids[order], "labels": labels, "asked": np.flatnonzero(asked), "begins": begins, "values": narrow(values[order])}], schema)
 
         schema = pa.schema([("block", pa.int64()), ("width", pa.int32()), *[(c, pa.list_(pa.int64())) for c in ("ids", "labels", "asked", "begins")], ("values", pa.binary())])
         for b in batches:
@@ -172,10 +163,10 @@ def packets(blocks: DataFrame, packet: int) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 asked = np.array(r["asked"], np.int64)
-                ids, labels, values = np.array(r["ids"], np.int64), np.array(r["labels"], np.int64), _wide(r["values"], len(r["ids"]), r["width"])
+                ids, labels, values = np.array(r["ids"], np.int64), np.array(r["labels"], np.int64), widen(r["values"], len(r["ids"]), r["width"])
                 for k in range(0, len(asked), packet):
                     rows = asked[k:k + packet]
-                    yield pa.RecordBatch.from_pylist([{"home": r["block"], "part": k // packet, "width": r["width"], "rows": rows, "ids": ids[rows], "labels": labels[rows], "values": _small(values[rows])}], schema)
+                    yield pa.RecordBatch.from_pylist([{"home": r["block"], "part": k // packet, "width": r["width"], "rows": rows, "ids": ids[rows], "labels": labels[rows], "values": narrow(values[rows])}], schema)
 
     schema = pa.schema([("home", pa.int64()), ("part", pa.int32()), ("width", pa.int32()), *[(c, pa.list_(pa.int64())) for c in ("rows", "ids", "labels")], ("values", pa.binary())])
     return blocks.where(F.size("asked") > 0).mapInArrow(run, _PACKET)
@@ -196,7 +187,7 @@ def _meet(blocks: DataFrame, asked: DataFrame, slices: int, same: bool, k: int)
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
                 ids, labels = np.array(r["ids"], np.int64), np.array(r["labels"], np.int64)
-                values = _wide(r["values"], len(ids), r["width"])
+                values = widen(r["values"], len(ids), r["width"])
                 if not r["kind"]:
                     tree, place = Tree(ids, labels, values, np.array(r["rows"], np.int64)), (r["block"], r["slice"])
                     continue

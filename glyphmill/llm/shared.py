@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
@@ -114,3 +115,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     leaves = now.select(F.col("src").alias("id"), F.col("dst").alias("component_id"))
     return leaves.unionByName(leaves.select(F.col("component_id").alias("id"), "component_id").distinct())
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs."""
+    top = int(np.abs(values).max()) if values.size else 0
+    return np.ascontiguousarray(values.astype(next(t for t, m in ((np.int8, 1 << 7), (np.int16, 1 << 15), (np.int32, 1 << 31), (np.int64, 1 << 64)) if top < m))).tobytes()
+
+
+def widen(blob: bytes, rows: int, width: int) -> np.ndarray:
+    """The matrix that ``narrow`` packed."""
+    size = len(blob) // max(rows * width, 1)
+    return np.frombuffer(blob, {0: np.int8, 1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[size]).astype(np.int64).reshape(rows, width)
