@@ -40,32 +40,35 @@ def strict_line_table(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id
     return rows.select(*keys, "memo", "line_no", "line", "clean", "score", "noise", (F.col("clean") != F.col("line")).alias("changed"))
 
 
-def strict_noise_filter(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id",), fallback: int = 5) -> DataFrame:
-    """Kept lines per document, deduplicated; the best five where all were noise.
+def strict_review(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id",), fallback: int = 5) -> DataFrame:
+    """``(keys, kept, removed)``: the kept lines of a document in order (the best ones by score), and how many were removed or changed.
 
-    Duplicates go by a hash aggregate on (document, key), and only documents
-    without a single kept line take the ranked path.
+    Lines that repeat but for case and whitespace are kept once; where all are noise, the best ``fallback`` stay. ``removed`` counts
+    different texts: lines before their change, and cleaned ones that are noise; where no line is kept on its merit, all of them. One shuffle
+    by document serves the ranks and the result; a document's lines are its own text, cut.
     """
     keys = list(keys)
-    rows = strict_line_table(docs, text_col, keys)
-    key = F.lower(P.compact(F.col("clean")))
-    # Filters sit above the aggregates: pushed below, they would repeat the scoring.
-    entry = F.struct("line_no", "clean", "score")
-    kept = rows.groupBy(*keys, key.alias("_k")).agg(F.min(F.when(~F.col("noise"), entry)).alias("r")).where(F.col("r").isNotNull())
-    kept = kept.select(*keys, F.col("r.line_no").alias("line_no"), F.col("r.clean").alias("clean"), F.col("r.score").alias("score"))
-    has_good = rows.groupBy(*keys).agg(F.max((~F.col("noise")).cast("int")).alias("any_good"))
-    lost = has_good.where(F.col("any_good") == 0).select(*keys)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "line_no"))
-    spare = rows.select(*keys, "line_no", "clean", "score").join(lost, keys, "left_semi")
-    best = spare.withColumn("_rn", rank).where((F.col("_rn") <= fallback) & (F.col("clean") != "")).drop("_rn")
-    return kept.unionByName(best)
-
-
-def strict_removed(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id",)) -> DataFrame:
-    """Removed or changed lines per document, distinct, with counts."""
-    rows = strict_line_table(docs, text_col, keys)
-    gone = F.col("noise") | F.col("changed")
-    return rows.groupBy(*keys, "line").agg(F.sum(gone.cast("int")).alias("times"), F.max("noise").alias("noise")).where(F.col("times") > 0)
+    rows = strict_line_table(docs, text_col, keys).withColumn("_k", F.lower(P.compact(F.col("clean"))))
+    whole = Window.partitionBy(*keys)
+    good = ~F.col("noise")
+    rows = rows.withColumn("_good", F.max(good.cast("int")).over(whole))
+    rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, good, "_k").orderBy("line_no")))
+    rows = rows.withColumn("_rank", F.row_number().over(whole.orderBy((F.col("clean") == "").cast("int"), F.col("score").desc(), "line_no")))
+    keep = F.when(F.col("_good") == 1, good & (F.col("_first") == 1)).otherwise((F.col("clean") != "") & (F.col("_rank") <= fallback))
+    filled = F.col("clean") != ""
+    per = rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(keep, F.struct(F.when(F.col("_good") == 1, F.col("line_no")).otherwise(F.col("_rank")).alias("o"), "line_no", "clean")))).alias("kept"), F.max("_good").alias("_good"),
+        F.collect_list(F.when(F.col("changed"), F.col("line"))).alias("_changed"), F.collect_list(F.when(F.col("noise") & filled, F.col("clean"))).alias("_noise"), F.count("*").alias("_n"))
+    best = F.transform("kept", lambda x: x["clean"])
+    removed = F.when(F.col("_good") == 1, F.size(F.array_distinct(F.concat("_changed", "_noise")))).when(
+        F.size("_noise") == 0, F.col("_n")).otherwise(F.size(F.filter("_noise", lambda x: ~F.array_contains(best, x))) + F.size("_changed") + F.size("_noise"))
+    return per.select(*keys, F.transform("kept", lambda x: F.struct(x["line_no"].alias("line_no"), x["clean"].alias("clean"))).alias("kept"), removed.cast("int").alias("removed"))
+
+
+def strict_noise_filter(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id",), fallback: int = 5) -> DataFrame:
+    """Kept lines per document, deduplicated; the best five where all were noise."""
+    return strict_review(docs, text_col, keys, fallback).select(*keys, F.inline("kept"))
+
 
 
 def pre_header_lines(docs: DataFrame, text_col: str = "raw_text", keys=("doc_id",)) -> DataFrame:

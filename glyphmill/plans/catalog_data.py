@@ -14,7 +14,7 @@ from ..sources.staging import scratch
 from ..streaming import streams as ST
 from ..streaming.streams import stream_quality as quality_windows
 from . import jobs as G
-from .catalog_text import run_pattern
+from .catalog_text import run_pattern, sql_rule
 from .registry import bare, every, get, hit, line_rows, lines, lit, num, query, rep, squeeze, tally, trim, with_, words
 
 D = S.documents
@@ -176,10 +176,12 @@ def receipt_fields(spark, d):
     return r.select("doc_id", "r.store", "r.number", "r.date", "r.total")
 
 
-@query("receipt_items", with_("receipts", more="l as (select doc_id, string_split(raw_text, chr(10))[4] as x from receipts)") + f"select doc_id, {get('x', E.PRICE, '', 0)} as price, trim({get('x', E.QTY, 'i', 0)}) as qty from l")
+@query("receipt_items", """select o_orderkey as doc_id, unnest(['STORE Customer#', 'Receipt: R-', 'Date: /' || strftime(o_orderdate, '%m') || '/', 'Blue ring']) as name,
+    unnest([substr(c_name, 10), cast(o_orderkey as varchar), strftime(o_orderdate, '%d'), cast(o_orderkey % 4 + 1 as varchar) || ' x']) as qty,
+    unnest([substr(c_name, 10), cast(o_orderkey as varchar), strftime(o_orderdate, '%Y'), cast(o_orderkey % 90 + 10 as varchar) || '.50']) as price from orders join customer on o_custkey = c_custkey""")
 def receipt_items(spark, d):
-    items = S.rendered(spark, d, "receipts").select("doc_id", F.inline(E.receipt_items(F.col("raw_text"))))
-    return items.where(F.col("name").startswith("Blue")).select("doc_id", "price", "qty")
+    """Every line with a price, its name and quantity."""
+    return S.rendered(spark, d, "receipts").select("doc_id", F.inline(E.receipt_items(F.col("raw_text")))).select("doc_id", "name", "qty", "price")
 
 
 @query("invoice_fields", "select o_orderkey as doc_id, 'INV-' || cast(o_orderkey as varchar) as invoice_no, lpad(cast(o_custkey as varchar), 13, '0') as tax_id, cast(cast(o_totalprice as decimal(18,2)) as varchar) as total from orders")
@@ -247,11 +249,22 @@ def commands_and_settings(spark, d):
     return S.rendered(spark, d, "steps").select("doc_id", F.array_join(E.commands(c), "|").alias("commands"), F.array_join(E.settings(c), "|").alias("settings"))
 
 
-@query("extract_fields", MIXED + f"select kind, {_type_sql('raw_text')} as document_type, count(*) as n from mix group by all")
+# What the fields of a kind must hold, from the tables that its texts are made of.
+_FIELDS = """fl as (select 'receipts' as kind, count(distinct o_orderkey) as names, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as amount from orders join customer on o_custkey = c_custkey
+    union all select 'tickets', count(distinct event_id), cast(sum(user_id % 5) as double) from events union all select 'emails', count(distinct conv_id), cast(count(*) as double) from conversations
+    union all select 'tables', count(distinct p_name), cast(2 * count(*) as double) from part)"""
+
+
+@query("extract_fields", with_("receipts", "tickets", "emails", "tables", "memos", more=MIX + f", {_FIELDS}, ty as (select kind, {_type_sql('raw_text')} as document_type, count(*) as n from mix group by all)") + "select kind, document_type, n, coalesce(names, 0) as names, coalesce(amount, 0) as amount from ty left join fl using (kind)")
 def extract_fields(spark, d):
-    out = FD.extract_fields(_mix(spark, d))
-    one = reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("int") for n in ("receipt", "ticket", "email", "table", "government")])
-    return out.groupBy("kind", "document_type").agg(F.count("*").alias("n"), F.sum(one).alias("_filled")).select("kind", "document_type", "n")
+    """Types of all documents, with the names and amounts found in the fields of the rendered ones."""
+    out = FD.extract_fields(_mix(spark, d)).where(F.col("kind").isNotNull())
+    own = F.col("kind").isin("receipts", "tickets", "emails", "tables")
+    name = F.coalesce("receipt.number", "ticket.ticket_no", "email.from", F.get(F.get("table.rows", F.lit(0)), F.lit(0)))
+    amount = F.coalesce(F.col("receipt.total").cast("decimal(18,2)"), F.regexp_extract("ticket.system", "([0-9]+)$", 1).cast("decimal(18,2)"), F.when(F.col("email.subject").isNotNull(), F.lit(1)).cast("decimal(18,2)"),
+                        F.col("table.row_count").cast("decimal(18,2)"))
+    found = out.groupBy("kind", "document_type").agg(F.count("*").alias("n"), F.countDistinct(F.when(own, name)).alias("names"), F.coalesce(F.sum(F.when(own, amount)), F.lit(0)).cast("double").alias("amount"))
+    return found
 
 
 @query("extract_fields_rows")
@@ -401,13 +414,13 @@ def token_accuracy(spark, d):
     return t.select("doc_id", Q.token_accuracy(F.col("raw_text"), F.col("h"), *Q.TOKEN_CLASSES["ip"]).alias("ip"))
 
 
-_CHK = " union all ".join(f"select doc_id, {lit(n)} as name, {num('raw_text', p)} as count from src" for n, p in Q.CHECKS["review"] if "(?=" not in p)
+_CHK = " union all ".join(f"select doc_id, {lit(n)} as name, {num('raw_text', p)} as count from src" for n, p in ((n, p.replace("(?=", "(?:")) for n, p in Q.CHECKS["review"]))
 
 
 @query("suspicious_tokens", with_("thai_notes", more="src as (select doc_id, raw_text from thai_notes union all select -doc_id - 1, raw_text from docs)") + f"select * from ({_CHK}) where count > 0")
 def suspicious_tokens(spark, d):
     both = S.rendered(spark, d, "thai_notes").select("doc_id", "raw_text").unionAll(D(spark, d).select((-F.col("doc_id") - 1).alias("doc_id"), "raw_text"))
-    return A.suspicious_rows(both).select("doc_id", "name", "count").where(F.col("name") != Q.CHECKS["review"][4][0])
+    return A.suspicious_rows(both).select("doc_id", "name", "count")
 
 
 @query("spell_report")
@@ -518,12 +531,12 @@ def neighbour_vote(spark, d):
     return V.neighbour_vote(S.candidates(spark, d).withColumn("score", F.col("confidence")))
 
 
-_ASCII = U.dictionary_rules(ascii_only=True)
+_DICTIONARY = U.dictionary_rules()
 
 
-@query("rule_hits", DOCS + "select * from (" + " union all ".join(f"select doc_id, {i} as rule_no, {num('raw_text', r.pattern, r.flags)} as hits from docs" for i, r in enumerate(_ASCII)) + ") where hits > 0")
+@query("rule_hits", DOCS + "select * from (" + " union all ".join(f"select doc_id, {i} as rule_no, {num('raw_text', sql_rule(r)[0], r.flags)} as hits from docs" for i, r in enumerate(_DICTIONARY)) + ") where hits > 0")
 def rule_hits(spark, d):
-    return U.rule_hits(D(spark, d), "raw_text", _ASCII)
+    return U.rule_hits(D(spark, d), "raw_text", _DICTIONARY)
 
 
 @query("assemble_rows", with_(more=f"w as (select doc_id, unnest(w) as s, generate_subscripts(w, 1) - 1 as pos from (select doc_id, {words('raw_text')} as w from docs))") + "select doc_id, pos // 6 + 1 as row_no, string_agg(s, ' ' order by pos) as line from w group by all")

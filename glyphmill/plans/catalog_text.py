@@ -237,18 +237,24 @@ def normalize_ip_like(spark, d):
     return S.rendered(spark, d, "network").select("doc_id", P.normalize_ip_like(F.col("raw_text")).alias("text"))
 
 
-ASCII = U.dictionary_rules(ascii_only=True)
+DICTIONARY = U.dictionary_rules()
 
 
-def _ascii_fold(expr):
-    for r in ASCII:
-        expr = rep(expr, r.pattern, r.replacement.replace("$1", "\\1"), r.flags)
+def sql_rule(r):
+    """Pattern and replacement for the check engine, which has no lookahead: the letter behind is taken and put back."""
+    pattern, put = r.pattern, r.replacement.replace("$1", "\\1")
+    return (pattern.replace("(?!ิ)", "([^ิ]|$)"), put + "\\1") if "(?!ิ)" in pattern else (pattern, put)
+
+
+def _fold_rules(expr):
+    for r in DICTIONARY:
+        expr = rep(expr, *sql_rule(r), r.flags)
     return expr
 
 
-@query("apply_rules", DOCS + f"select doc_id, {_ascii_fold('raw_text')} as text from docs")
+@query("apply_rules", DOCS + f"select doc_id, {_fold_rules('raw_text')} as text from docs")
 def apply_rules(spark, d):
-    return U.apply_rules(D(spark, d), ASCII, "raw_text", "text").select("doc_id", "text")
+    return U.apply_rules(D(spark, d), DICTIONARY, "raw_text", "text").select("doc_id", "text")
 
 
 @query("apply_rules_logged")
@@ -281,7 +287,7 @@ def count_rule_use(spark, d):
     return LX.count_used(rules, LX.apply_table(S.rendered(spark, d, "receipts"), rules, "raw_text"))
 
 
-JOIN = ["network", "address", "thing", "other", "and"]
+JOIN = fixed.words("join")
 
 
 def _join_sql(expr):
@@ -295,8 +301,9 @@ def join_spaced_words(spark, d):
     return D(spark, d).select("doc_id", U.join_spaced_words(F.col("raw_text"), JOIN).alias("text"))
 
 
-_SAFE = [(k, p, f) for k, p, f in PROTECTED if k != "apiPath"]
-_ALT = "|".join(f"(?{'i' if 'i' in f else '-i'}:{p})" for _, p, f in _SAFE)
+_SAFE = list(PROTECTED)
+# The check engine can't look behind: the sign before a path is taken with it, which tells nothing apart in tickets.
+_ALT = "|".join(f"(?{'i' if 'i' in f else '-i'}:{p})" for _, p, f in _SAFE).replace(r"""(?<![^\s(\[\"'])/""", r"""(?:^|[\s(\["'])/""")
 
 
 @query("clean_protected", with_("tickets") + f"select doc_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: upper(a[i]) || coalesce(b[i], '')), '') as text, len(b) as n_spans from (select doc_id, regexp_split_to_array(raw_text, {lit(_ALT)}) as a, regexp_extract_all(raw_text, {lit(_ALT)}) as b from tickets)")
@@ -450,6 +457,12 @@ def strict_noise_filter(spark, d):
     return L.strict_noise_filter(D(spark, d)).select("doc_id", "line_no", "clean")
 
 
+@query("strict_removed")
+def strict_removed(spark, d):
+    """How many lines of each document the strict review removed or changed."""
+    return L.strict_review(D(spark, d)).select("doc_id", F.size("kept").alias("kept"), "removed")
+
+
 _W = R.WEIRD_MARKS
 
 

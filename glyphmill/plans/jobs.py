@@ -98,10 +98,8 @@ def consensus(candidates: DataFrame, keys=("doc_id",), level: str = "safe", full
     df = df.withColumn("review_1", first)
     df = df.withColumn("review_2", P.clamp(F.col("review_1") + F.when(F.col("_doc_issues") > 0, -3).otherwise(4)))
     df = df.withColumn("confidence", P.clamp(P.half_up((F.col("review_1") + F.col("review_2")) / 2)))
-    kept = L.strict_noise_filter(df, "cleaned_text", keys)
-    strict = ordered_text(kept, keys, "line_no", "clean", "final_text")
-    removed = L.strict_removed(df, "cleaned_text", keys).groupBy(*keys).agg(F.count("*").alias("removed"))
-    df = df.join(strict, keys, "left").join(removed, keys, "left").fillna({"final_text": "", "removed": 0})
+    strict = L.strict_review(df, "cleaned_text", keys).select(*keys, F.array_join(F.transform("kept", lambda x: x["clean"]), "\n").alias("final_text"), "removed")
+    df = df.join(strict, keys, "left").fillna({"final_text": "", "removed": 0})
     penalty = F.when(F.col("removed") > 0, -F.least(F.lit(24), F.col("removed") * 4)).otherwise(4)
     df = df.withColumn("confidence", F.when(F.col("final_text") == "", F.col("confidence")).otherwise(P.clamp(F.col("confidence") + penalty)))
     df = df.withColumn("final_text", F.when(F.col("final_text") == "", F.col("cleaned_text")).otherwise(F.col("final_text")))
