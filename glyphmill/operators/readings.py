@@ -238,18 +238,26 @@ def neighbour_vote(candidates: DataFrame, voters: int = 5, min_sim: float = 0.45
     return grouped.select(*keys, (F.col("i") + 1).alias("line_no"), base.alias("base"), best["line"].alias("line"))
 
 
-def issue_counts(aligned: DataFrame, candidates: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """Mismatching lines, failed engines and uncertain words per document."""
-    keys = list(keys)
-    differ = F.size(F.array_distinct(F.filter(F.transform("r", lambda x: normal_key(x["text"])), lambda k: k != ""))) > 1
-    lines = aligned.groupBy(*keys).agg(F.sum(differ.cast("int")).alias("mismatches"), F.count("*").alias("n_lines"))
+def readings_differ(r: Column) -> Column:
+    """Whether the readings of a line, ``r``, differ in more than case, whitespace and bars."""
+    return F.size(F.array_distinct(F.filter(F.transform(r, lambda x: normal_key(x["text"])), lambda k: k != ""))) > 1
+
+
+def engine_counts(candidates: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """Failed and successful engines, uncertain words and the mean confidence of a document."""
     words = F.sum(F.size("uncertain_words")) if "uncertain_words" in candidates.columns else F.sum(F.lit(0))
-    engines = candidates.groupBy(*keys).agg(
+    return candidates.groupBy(*keys).agg(
         F.sum((F.col("status") == "failed").cast("int")).alias("failed"), F.coalesce(words, F.lit(0)).alias("uncertain"),
         F.sum((F.col("status") == "success").cast("int")).alias("successful"),
         F.coalesce(F.avg(F.when(F.col("status") == "success", F.col("confidence"))), F.lit(0.0)).alias("engine_confidence"))
+
+
+def issue_counts(aligned: DataFrame, candidates: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """Mismatching lines, failed engines and uncertain words per document."""
+    keys = list(keys)
+    lines = aligned.groupBy(*keys).agg(F.sum(readings_differ(F.col("r")).cast("int")).alias("mismatches"), F.count("*").alias("n_lines"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return engines.join(lines, keys, "left").select(*keys, zero("mismatches"), zero("n_lines"), "failed", "uncertain", "successful", "engine_confidence")
+    return engine_counts(candidates, keys).join(lines, keys, "left").select(*keys, zero("mismatches"), zero("n_lines"), "failed", "uncertain", "successful", "engine_confidence")
 
 
 def text_issues(c: Column) -> Column:

@@ -11,7 +11,7 @@ from ..operators.clean import REVIEW_STEPS, clean_text
 from ..operators.lexicon import apply_table
 from ..operators.rules import accuracy_spell
 from ..sources.exports import append_keep_last_n, ordered_text, write_ordered
-from ..sources.staging import read_version, write_version
+from ..sources.staging import read_version, staged, write_version
 from ..sources.tables import page_range
 
 REVIEW_ITEM = "array<struct<text:string,type:string,reason:string>>"
@@ -82,12 +82,12 @@ def polish_final(df: DataFrame, col: str) -> DataFrame:
 def consensus(candidates: DataFrame, keys=("doc_id",), level: str = "safe", full_score: bool = True) -> DataFrame:
     """Line votes over the engine readings, cleaning, issue penalties, strict filter, polish."""
     keys = list(keys)
-    aligned = V.align_candidates(candidates, keys=keys)
-    decided = V.majority_line(aligned, full_score=full_score)
-    rows = decided.groupBy(*keys).agg(F.avg("confidence").alias("row_confidence"))
-    text = ordered_text(decided, keys, "line_no", "decision", "base_text", skip_blank=True)
-    issues = V.issue_counts(aligned, candidates, keys)
-    df = issues.join(rows, keys, "left").join(text, keys, "left").fillna({"base_text": "", "row_confidence": 0.0})
+    decided = V.majority_line(V.align_candidates(candidates, keys=keys), full_score=full_score)
+    # The lines of a document are still together, so one pass over them serves text, confidence and mismatches.
+    parts = F.sort_array(F.collect_list(F.when(F.col("decision") != "", F.struct("line_no", "decision"))))
+    lines = decided.groupBy(*keys).agg(F.avg("confidence").alias("row_confidence"), F.sum(V.readings_differ(F.col("r")).cast("int")).alias("mismatches"),
+                                       F.array_join(F.transform(parts, lambda x: x["decision"]), "\n").alias("base_text"))
+    df = V.engine_counts(candidates, keys).join(lines, keys, "left").fillna({"base_text": "", "row_confidence": 0.0, "mismatches": 0})
     df = clean_text(df, "base_text", level)
     for step in REVIEW_STEPS:
         df = df.withColumn("cleaned_text", step(F.col("cleaned_text")))
@@ -98,6 +98,8 @@ def consensus(candidates: DataFrame, keys=("doc_id",), level: str = "safe", full
     df = df.withColumn("review_1", first)
     df = df.withColumn("review_2", P.clamp(F.col("review_1") + F.when(F.col("_doc_issues") > 0, -3).otherwise(4)))
     df = df.withColumn("confidence", P.clamp(P.half_up((F.col("review_1") + F.col("review_2")) / 2)))
+    # Read twice, so written once.
+    df = staged(df.select(*keys, "cleaned_text", "confidence", "mismatches", "failed", "issues", "review_1", "review_2"), "consensus")
     strict = L.strict_review(df, "cleaned_text", keys).select(*keys, F.array_join(F.transform("kept", lambda x: x["clean"]), "\n").alias("final_text"), "removed")
     df = df.join(strict, keys, "left").fillna({"final_text": "", "removed": 0})
     penalty = F.when(F.col("removed") > 0, -F.least(F.lit(24), F.col("removed") * 4)).otherwise(4)
