@@ -5,7 +5,8 @@ canonical link, or the same url but for scheme, ``www.``, tracking parameters, f
 decision reaches every alias without a rule of its own, unless the component also holds an explicit allow, which goes first. Both ends of
 every link are judged, whether they are pages or not. What no rule reaches is allowed.
 
-Scale: rules are a list of literals, so judging needs no join. Decisions of link ends are aggregated per url, then with those of the pages
+Scale: a short list of rules is an expression, so judging needs no join. A table of rules of any size is met by equal keys: the suffixes of
+each different host, then the beginnings of its paths of the lengths that the rules of such a suffix have. Decisions of link ends are aggregated per url, then with those of the pages
 per component, before they are joined back. Links are staged with the decisions of their ends, so pages are parsed once. The components
 work on one edge for each distinct link, over 64-bit names of normal urls.
 """
@@ -47,6 +48,32 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+def judged_by_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(host, path, action, rule)`` of the different ``urls(host, path)`` that a rule of ``rules(action, host, path)`` fits.
+
+    The longest rule wins; of equally long ones that with the longer host, then a block. Rules with a null are left out.
+    """
+    rules = rules.select("action", F.col("host").alias("h"), F.col("path").alias("p")).where("action is not null and h is not null and p is not null").distinct()
+    lengths = rules.groupBy("h").agg(F.collect_set(F.length("p")).alias("lengths"))
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    found = urls.select("host", "path").where("host <> ''").distinct().withColumn("suffix", F.explode(suffixes)).join(lengths, F.col("suffix") == F.col("h")).drop("h")
+    found = found.select("host", "path", "suffix", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path")).withColumn("begin", F.substring("path", F.lit(1), F.col("n")))
+    found = found.join(rules, (F.col("suffix") == F.col("h")) & (F.col("begin") == F.col("p")))
+    best = F.max(F.struct((F.length("h") + F.length("p")).alias("n"), F.length("h").alias("m"), F.col("action"), F.concat("h", "p").alias("rule"))).alias("best")
+    return found.groupBy("host", "path").agg(best).select("host", "path", "best.action", "best.rule")
+
+
+def _judge_by(df: DataFrame, host: Column, path: Column, rules, out: str) -> DataFrame:
+    """``df`` with ``out``, the rule of its urls, from a list or a table of rules."""
+    if not isinstance(rules, DataFrame):
+        return df.withColumn(out, rule_of(host, path, rules))
+    df = df.withColumns({"judged_host": host, "judged_path": path})
+    urls = df.select(F.col("judged_host").alias("host"), F.col("judged_path").alias("path"))
+    known = judged_by_table(urls, rules).select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.struct("action", "rule").alias(out))
+    return df.join(known, (F.col("judged_host") == F.col("rule_host")) & (F.col("judged_path") == F.col("rule_path")), "left").drop("judged_host", "judged_path", "rule_host", "rule_path")
+
+
 def normal(url: Column) -> Column:
     """The url without scheme, ``www.``, fragment, tracking parameters and closing slash; null without a host."""
     host = F.regexp_replace(host_of(url), r"^www\.", "")
@@ -65,14 +92,26 @@ def _without_dots(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
 
 
+# Entities that occur in links; the last gives the sign that begins all of them.
+ENTITIES = (("&(?:quot|#34|#[xX]22);", '"'), ("&(?:apos|#39|#[xX]27);", "'"), ("&(?:lt|#60|#[xX]3[cC]);", "<"), ("&(?:gt|#62|#[xX]3[eE]);", ">"), ("&(?:sol|#47|#[xX]2[fF]);", "/"), ("&(?:colon|#58|#[xX]3[aA]);", ":"), ("&(?:amp|#38|#[xX]26);", "&"))
+
+
+def _decoded(link: Column) -> Column:
+    out = link
+    for pattern, sign in ENTITIES:
+        out = F.regexp_replace(out, pattern, sign)
+    return F.when(link.contains("&"), out).otherwise(link)
+
+
 def link_targets(html: Column, url: Column) -> Column:
-    """Absolute urls of canonical links and meta refreshes of a page.
+    """Absolute urls of canonical links and meta refreshes of a page, outside comments, their entities decoded.
 
     What has no scheme is completed from the page's own url: ``//host`` and ``/path``, ``?query``, and relative paths from the page's
     folder on, with ``.`` and ``..``. Targets of other schemes without ``//`` (``mailto:``) name no host and are left out; ``<base>`` isn't read.
     """
+    html = F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(html)
     tags = F.regexp_extract_all(html, F.lit(r"""(?i)<(?:link\b[^>]*\brel\s*=\s*["']?canonical\b|meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>|<link\b[^>]*\bhref\s*=[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
-    raw = F.transform(tags, lambda t: F.regexp_extract(t, r"""(?i)(?:\bhref\s*=|;\s*url\s*=)\s*["']?([^"'\s>]+)""", 1))
+    raw = F.transform(tags, lambda t: _decoded(F.regexp_extract(t, r"""(?i)(?:\bhref\s*=|;\s*url\s*=)\s*["']?([^"'\s>]+)""", 1)))
     scheme = F.coalesce(F.nullif(F.regexp_extract(url, r"^([^:/?#]*)://", 1), F.lit("")), F.lit("http"))
     site = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"^.*/", 0), F.lit("")), F.lit("/"))
@@ -88,6 +127,8 @@ def link_targets(html: Column, url: Column) -> Column:
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row; ``redirects(src_url, dst_url)`` adds redirects known from elsewhere.
 
+    ``rules`` are a list of (action, host, path), or a table with these columns for more than a few.
+
     Ends of redirects and links that are no pages are judged too, and their decisions reach the pages they are aliases of.
     A null url, or one without ``://``, has an empty host and path and is no alias of anything; a null html has no links. Repeated rows and
     null ids are judged like others. Extra columns are not carried.
@@ -95,12 +136,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     url = F.col("url")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = rows.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).withColumn("node", F.xxhash64(normal(url)))
+    if not isinstance(rules, DataFrame) and len(rules) > MOST_RULES:
+        rules = pages.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+    rows = _judge_by(rows, F.col("host"), F.col("path"), rules, "own").withColumn("node", F.xxhash64(normal(url)))
     rows = rows.withColumn("node", F.when(normal(url).isNotNull(), F.col("node"))).drop("url")
     linked = pages.select(F.col(url_col).alias("from"), F.col(html_col).alias("page")).select(F.col("from").alias("url"), F.explode(link_targets(F.col("page"), F.col("from"))).alias("to"))
     if redirects is not None:
         linked = linked.unionByName(redirects.select(F.col("src_url").alias("url"), F.col("dst_url").alias("to")))
-    links = linked.select(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("url", "to") for n, f in (("name", normal), ("own", lambda u: rule_of(host_of(u), path_of(u), rules)["action"]))])
+    for c in ("url", "to"):
+        linked = _judge_by(linked, host_of(F.col(c)), path_of(F.col(c)), rules, f"{c}_rule")
+    links = linked.select(*[normal(F.col(c)).alias(f"{c}_name") for c in ("url", "to")], *[F.col(f"{c}_rule.action").alias(f"{c}_own") for c in ("url", "to")])
     links = stage(links.select(F.xxhash64("url_name").alias("src"), F.xxhash64("to_name").alias("dst"), "url_own", "to_own").where("url_name is not null and to_name is not null").distinct(), "links")
     joined = components(links)
     rows = rows.join(joined, F.col("node") == F.col("id"), "left").withColumn("component", F.coalesce("component_id", "node")).drop("id", "component_id", "node")
