@@ -184,11 +184,18 @@ def score_readings(candidates: DataFrame, keys=("doc_id",), hint: Column | None
     return df.withColumn("agreement", F.when(ok, F.coalesce("agreement", F.lit(0))).otherwise(F.lit(0)))
 
 
+def improved(df: DataFrame) -> Column:
+    """Whether a second attempt at a reading raised its confidence, from ``retry_before`` and ``retry_after`` where they are given."""
+    if not {"retry_before", "retry_after"} <= set(df.columns):
+        return F.lit(False)
+    return F.coalesce(F.col("retry_after") > F.col("retry_before"), F.lit(False))
+
+
 def rank_engines(scored: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """Rank score, rank and best flag; ties keep the engine order."""
+    """Rank score, rank and best flag; ties keep the engine order. A reading that a retry has improved gains."""
     low = F.size(F.coalesce("uncertain_words", F.array().cast("array<string>"))) if "uncertain_words" in scored.columns else F.lit(0)
     score = rank_score(F.col("confidence"), F.col("agreement"), F.col("logic"), F.col("completeness"), low,
-                       mojibake(F.col("text"), "engine"), F.lit(False))
+                       mojibake(F.col("text"), "engine"), improved(scored))
     df = scored.withColumn("rank_score", score)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("rank_score").desc(), "engine_id"))
     df = df.withColumn("rank", rank)
@@ -291,3 +298,8 @@ def confidence_rollup(lines: DataFrame, keys=("doc_id",), page: str = "page_no")
     two = lambda c: F.floor(c * 100 + F.lit(0.5)) / 100
     pages = lines.groupBy(*keys, page).agg(two(F.avg("confidence")).alias("page_confidence"))
     return pages.groupBy(*keys).agg(two(F.avg("page_confidence")).alias("confidence"), F.count("*").alias("pages"))
+
+
+def engine_rollup(words: DataFrame, keys=("doc_id", "engine_id")) -> DataFrame:
+    """Confidence of each reading: the rounded mean over its words that have one."""
+    return words.where(F.trim("word") != "").groupBy(*keys).agg(F.floor(F.avg("confidence") + F.lit(0.5)).cast("int").alias("confidence"), F.count("confidence").alias("words"))

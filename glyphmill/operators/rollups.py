@@ -84,15 +84,19 @@ def benchmark_summary(runs: DataFrame, keys=("engine",)) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count("*").alias("runs"), one("quality_score"), one("cer"), one("wer"))
 
 
-def review_queue(conflicts: DataFrame, issues: DataFrame, n: int | None = None, keys=("doc_id",)) -> DataFrame:
-    """Open conflicts and must-check items, distinct; the first ``n`` conflicts per document if a number is given."""
+def review_queue(conflicts: DataFrame, issues: DataFrame, n: int | None = None, keys=("doc_id",), reviews: DataFrame | None = None) -> DataFrame:
+    """Open conflicts, must-check items and those of the ``reviews`` of government documents, distinct; the first ``n`` conflicts per document if a number is given."""
     from pyspark.sql import Window
 
     is_open = F.col("conflict") & ~F.col("resolved")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(is_open, 0).otherwise(1), "line_no"))
     open_ = conflicts.where(is_open) if n is None else conflicts.withColumn("_rn", rank).where((F.col("_rn") <= n) & is_open)
     open_ = open_.select(*keys, F.lit("conflict").alias("kind"), F.col("selected").alias("item"), F.array_join("candidates", " | ").alias("reason"))
-    return open_.unionByName(issues.select(*keys, "kind", "item", "reason")).distinct()
+    out = open_.unionByName(issues.select(*keys, "kind", "item", "reason"))
+    if reviews is not None:
+        found = reviews.select(*keys, F.explode("review").alias("r"))
+        out = out.unionByName(found.select(*keys, F.col("r.type").alias("kind"), F.col("r.text").alias("item"), F.col("r.reason").alias("reason")))
+    return out.distinct()
 
 
 def record_answers(corrections: DataFrame, answers: DataFrame) -> DataFrame:

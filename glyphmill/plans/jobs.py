@@ -121,7 +121,7 @@ def ensemble(candidates: DataFrame, keys=("doc_id",), dictionary: DataFrame | No
     best = F.max_by(F.struct("engine_id", "confidence", "completeness"), -F.col("rank"))
     per_doc = ranked.groupBy(*keys).agg(
         F.avg(F.when(ok, F.col("agreement"))).alias("agreement"), F.avg(F.when(ok, F.col("confidence"))).alias("mean_confidence"),
-        best.alias("best"), F.sum(low).alias("low_words"))
+        best.alias("best"), F.sum(low).alias("low_words"), F.bool_or(V.improved(ranked)).alias("improved"))
     aligned = V.align_candidates(candidates.where(ok & (F.col("text") != "")), keys=keys, squeeze=True)
     voted = V.cluster_vote(aligned, dictionary)
     conflicts = voted.groupBy(*keys).agg(F.sum(F.col("conflict").cast("int")).alias("conflicts"), F.sum(F.col("resolved").cast("int")).alias("resolved"))
@@ -148,7 +148,7 @@ def ensemble(candidates: DataFrame, keys=("doc_id",), dictionary: DataFrame | No
     df = df.withColumn("logic_confidence", P.one_decimal(P.clamp(second)))
     resolved_pct = F.when(F.col("conflicts") > 0, F.col("resolved") / F.col("conflicts") * 100).otherwise(100.0)
     logic = F.when(F.col("validation") > 0, F.col("validation")).otherwise(F.col("logic_confidence"))
-    final = Q.final_confidence(F.coalesce("agreement", F.lit(0.0)), best_conf, logic, resolved_pct, F.col("best.completeness"), F.col("low_words"), F.col("warnings"), F.lit(False))
+    final = Q.final_confidence(F.coalesce("agreement", F.lit(0.0)), best_conf, logic, resolved_pct, F.col("best.completeness"), F.col("low_words"), F.col("warnings"), F.col("improved"))
     source = F.when(F.col("gov_type").isNotNull(), "government review").otherwise("document logic")
     return df.withColumn("final_confidence", final).select(
         *keys, "final_text", F.col("_type").alias("document_type"), "final_confidence", "vote_confidence", "logic_confidence", "validation",
