@@ -214,9 +214,12 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     bits. Extra columns are ignored.
     """
     rows = quantised(vectors, id_col, vector_col, scale)
-    blocks = index(rows.withColumn("asked", F.coalesce(is_query, F.lit(False))), block_rows)
+    cores, total = vectors.sparkSession.sparkContext.defaultParallelism, vectors.count()
+    # A query costs a walk over the slices of a block whatever its size, so small parts of a table are read together.
+    parts = max(math.ceil(total / block_rows), min(cores // 2, math.ceil(4 * total / block_rows)), 1)
+    blocks = index(rows.withColumn("asked", F.coalesce(is_query, F.lit(False))).coalesce(parts), block_rows)
     size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("asked")).alias("asked")).first()
-    asked, cores = size["asked"] or 0, vectors.sparkSession.sparkContext.defaultParallelism
+    asked = size["asked"] or 0
     slices = max(math.ceil(asked / 8192), min(math.ceil(2 * cores / max(size["blocks"], 1)), math.ceil(asked / block_queries)), 1)
     none = lambda kind: F.lit(None).cast(kind)
     left = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "width", "ids", F.col("bitmaps").alias("data"), "low", "bits",
