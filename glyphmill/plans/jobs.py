@@ -12,7 +12,7 @@ from ..operators.lexicon import apply_table
 from ..operators.rules import accuracy_spell
 from ..sources.exports import append_keep_last_n, ordered_text, write_ordered
 from ..sources.staging import read_version, staged, write_version
-from ..sources.tables import page_range
+from ..sources.tables import page_range, task_count
 
 REVIEW_ITEM = "array<struct<text:string,type:string,reason:string>>"
 HEADER = "บันทึกข้อความ|หนังสือราชการ|ส่วนราชการ"
@@ -167,7 +167,8 @@ def paged_documents(pages: DataFrame, strategy: str = "auto", level: str = "safe
     df = page_range(pages, spec)
     if items is not None:
         wanted = page_range(items, spec) if "page_no" in keys else items
-        df = df.join(M.item_spread(wanted, keys), list(keys), "left")
+        # The pages are cleaned behind the join, in as many tasks as this makes of them.
+        df = df.repartition(task_count(pages), *keys).join(M.item_spread(wanted, keys), list(keys), "left")
     df = PG.page_features(PG.choose_page_source(df, strategy), None if items is None else "x_spread")
     df = PG.line_and_word_confidence(df)
     return PG.page_accuracy_report(clean_text(df, "raw_text", level))
