@@ -91,12 +91,14 @@ def review_queue(conflicts: DataFrame, issues: DataFrame, n: int | None = None,
 
     is_open = F.col("conflict") & ~F.col("resolved")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(is_open, 0).otherwise(1), "line_no"))
-    open_ = conflicts.where(is_open) if n is None else conflicts.withColumn("_rn", rank).where((F.col("_rn") <= n) & is_open)
-    open_ = open_.select(*keys, F.lit("conflict").alias("kind"), F.col("selected").alias("item"), F.array_join("candidates", " | ").alias("reason"))
+    some = conflicts if n is None else conflicts.withColumn("_rn", rank).where(F.col("_rn") <= n)
+    entry = F.struct(F.lit("conflict").alias("kind"), F.col("selected").alias("item"), F.array_join("candidates", " | ").alias("reason"))
+    # Not a filter: one on the vote's result would move below the vote and repeat it there. Nor an explode of a plain column, which brings such a filter.
+    open_ = some.select(*keys, F.inline(F.filter(F.array(entry), lambda _: is_open)))
     out = open_.unionByName(issues.select(*keys, "kind", "item", "reason"))
     if reviews is not None:
-        found = reviews.select(*keys, F.explode("review").alias("r"))
-        out = out.unionByName(found.select(*keys, F.col("r.type").alias("kind"), F.col("r.text").alias("item"), F.col("r.reason").alias("reason")))
+        items = F.transform("review", lambda r: F.struct(r["type"].alias("kind"), r["text"].alias("item"), r["reason"].alias("reason")))
+        out = out.unionByName(reviews.select(*keys, F.inline(items)))
     return out.distinct()
 
 
