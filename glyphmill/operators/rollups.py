@@ -12,7 +12,8 @@ from .lexicon import count_words
 
 def fix_groups(cleaned: DataFrame, n: int | None = None, fixes: str = "fixes") -> DataFrame:
     """Fixes by type, before and after, with their number; the ``n`` most frequent if a number is given."""
-    rows = cleaned.select(F.inline(fixes))
+    # Not the plain column: its explode would bring a filter that makes all fixes a second time, below the exchange that spreads the texts.
+    rows = cleaned.select(F.inline(F.transform(fixes, lambda f: F.struct(*[f[n].alias(n) for n in ("type", "from", "to")]))))
     groups = rows.groupBy("type", "from", "to").agg(F.count("*").alias("n"))
     return groups if n is None else groups.orderBy(F.col("n").desc(), "type", "from", "to").limit(n)
 
